@@ -80,7 +80,7 @@ def efficiency(log: DataFrame) -> DataFrame:
 
 
 def final_scores(log: DataFrame, results: DataFrame) -> DataFrame:
-    """Per run the final score. ``results`` has (run_id, quality, validation, schema_accuracy) of
+    """Per run the final score, and the ``weighted`` sum it is rounded from. ``results`` has (run_id, quality, validation, schema_accuracy) of
     each run's last table."""
     parts = results.join(efficiency(log), "run_id").join(action_quality(log), "run_id")
     score = sum(
@@ -89,7 +89,7 @@ def final_scores(log: DataFrame, results: DataFrame) -> DataFrame:
             ("action_quality", ACTION_WEIGHT), ("schema_accuracy", SCHEMA_WEIGHT))),
         start=F.lit(0.0),
     )
-    return parts.withColumn("score", clamp(score))
+    return parts.withColumn("weighted", score).withColumn("score", clamp(F.col("weighted")))
 
 
 def leaderboard(scores: DataFrame) -> DataFrame:
