@@ -58,12 +58,15 @@ def _key(names: Sequence[str]) -> Column:
     return F.struct(*[F.col(n).alias(f"k{i}") for i, n in enumerate(names)])
 
 
-def _boundaries(df: DataFrame, names: Sequence[str], buckets: int | None) -> tuple[str, str, int]:
+def _boundaries(
+    df: DataFrame, names: Sequence[str], buckets: int | None, rows: int | None = None
+) -> tuple[str, str, int]:
     """Bucket boundaries as JSON: a two-level array, so that a row is placed with about
     2*sqrt(buckets) comparisons. They come from a sample of the keys chosen by hash, of about
     SAMPLES_PER_BUCKET keys per bucket whatever the size of the table."""
     keys = df.select(_key(names).alias("k"))
-    rows = df.agg(F.count(F.lit(1))).first()[0]
+    if rows is None:
+        rows = df.agg(F.count(F.lit(1))).first()[0]
     count = buckets or bucket_count(rows, df.sparkSession)
     width = max(1, math.isqrt(count))
     every = max(1, rows // (count * SAMPLES_PER_BUCKET))
@@ -85,10 +88,12 @@ def _boundaries(df: DataFrame, names: Sequence[str], buckets: int | None) -> tup
     return row["j"] or "[]", schema, width
 
 
-def range_bucket(df: DataFrame, names: Sequence[str], buckets: int | None = None) -> Column:
+def range_bucket(
+    df: DataFrame, names: Sequence[str], buckets: int | None = None, rows: int | None = None
+) -> Column:
     """The range bucket of the key made of the columns ``names``, as a deterministic
-    expression. Buckets ascend with the key."""
-    text, schema, width = _boundaries(df, names, buckets)
+    expression. Buckets ascend with the key. ``rows`` saves the count if it is known."""
+    text, schema, width = _boundaries(df, names, buckets, rows)
     if text in ("[]", "[[]]"):
         return F.lit(0)
     key = _key(names)

@@ -270,9 +270,9 @@ scores AS (SELECT *, {clamp_sql('weighted')} AS score FROM (SELECT *, {' + '.joi
 """
 
 
-@query("log_final_score", oracle("run_log", _FINAL + "SELECT run_id, round(weighted, 8) AS weighted, round(score, 4) AS score FROM scores"))
+@query("log_final_score", oracle("run_log", _FINAL + "SELECT run_id, round(weighted, 8) AS weighted FROM scores"))
 def log_final_score(spark, folder):
-    return _final(spark, folder).select("run_id", F.round("weighted", 8).alias("weighted"), F.round("score", 4).alias("score"))
+    return _final(spark, folder).select("run_id", F.round("weighted", 8).alias("weighted"))
 
 
 @query("log_leaderboard", oracle("run_log", _FINAL + """SELECT run_id, round(score, 3) AS score, round(quality, 3) AS quality,
