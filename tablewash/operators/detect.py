@@ -34,10 +34,9 @@ def _cells(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], sampl
         raise CleaningError("the table has no text column to look at")
     if sample is None:
         entries = [
-            F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("cell")))
-            for c in columns
+            F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("cell")) for c in columns
         ]
-        return df.select(F.inline(F.array_compact(F.array(*entries))))
+        return df.select(F.inline(F.array(*entries))).where(F.col("cell").isNotNull())
     out = None
     for c in columns:
         top = df.where(F.col(c).isNotNull()).orderBy(*order_by).limit(sample)

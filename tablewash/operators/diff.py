@@ -76,12 +76,12 @@ def changed_cells(
     old = before.select(*key, *[shown(before, c).alias(f"__o{i}") for i, c in enumerate(columns)])
     new = after.select(*key, *[shown(after, c).alias(f"__n{i}") for i, c in enumerate(columns)])
     entries = [
-        F.when(F.col(f"__o{i}") != F.col(f"__n{i}"), F.struct(
-            F.lit(i).alias("position"), F.lit(c).alias("column"),
-            F.col(f"__o{i}").alias("old_value"), F.col(f"__n{i}").alias("new_value")))
+        F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"),
+                 F.col(f"__o{i}").alias("old_value"), F.col(f"__n{i}").alias("new_value"))
         for i, c in enumerate(columns)
     ]
-    cells = old.join(new, list(key)).select(*key, F.inline(F.array_compact(F.array(*entries))))
+    cells = old.join(new, list(key)).select(*key, F.inline(F.array(*entries)))
+    cells = cells.where(F.col("old_value") != F.col("new_value"))
     if per_column is not None:
         place = Window.partitionBy("position").orderBy(*key)
         cells = cells.withColumn("__r", F.row_number().over(place)).where(F.col("__r") <= per_column).drop("__r")

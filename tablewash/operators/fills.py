@@ -13,8 +13,9 @@ from tablewash.errors import CleaningError, require_columns
 from tablewash.functions.parse import missing_nan
 from tablewash.functions.text import id_digits, id_prefix, id_text
 from tablewash.functions.typing import logical_type
-from tablewash.operators.fits import fit_id_pattern, fit_median, fit_mode, fit_moments
-from tablewash.operators.ordered import Running, bucket_count, running
+from tablewash.operators.fits import IdPattern, fit_id_pattern, fit_median, fit_mode, fit_moments
+from tablewash.operators.ordered import Running, bucket_count, range_bucket, running
+from tablewash.session import materialize
 
 PAYLOAD = "__payload"
 NEEDY = "__needy"
@@ -55,11 +56,15 @@ def fill_median(df: DataFrame, *columns: str, exact: bool = True) -> DataFrame:
     return fill_value(df, fit_median(df, columns, exact))
 
 
-def fill_mode(df: DataFrame, column: str) -> DataFrame:
+def mode_of(df: DataFrame, column: str) -> Any:
     value = fit_mode(df, column)
     if value is None:
         raise CleaningError(f"'{column}' has no value to take a mode of")
-    return fill_value(df, {column: value})
+    return value
+
+
+def fill_mode(df: DataFrame, column: str) -> DataFrame:
+    return fill_value(df, {column: mode_of(df, column)})
 
 
 def fill_constant(df: DataFrame, column: str, value: Any) -> DataFrame:
@@ -83,9 +88,18 @@ def fill_ordered(
     Only rows that lack a cell travel whole; the others send their keys and values as context
     and are kept where they are.
     """
-    require_columns(df, *methods, *order_by, *partition_by)
+    done, lacking, df = _scan_needy(df, methods, [], order_by, partition_by, buckets)
+    return df.where(~lacking).unionByName(done)
+
+
+def _scan_needy(df, methods, ranked, order_by, partition_by=(), buckets=None):
+    """The rows that lack a cell of ``methods`` or ``ranked``, with the former filled and, for
+    the latter, the rank of the row among those that lack that cell (``__r0``, ...); the
+    condition that picks these rows; and ``df`` with NaN as NULL in those columns."""
+    filled_columns = [*methods, *ranked]
+    require_columns(df, *filled_columns, *order_by, *partition_by)
     keys = [*partition_by, *order_by]
-    if set(keys) & set(methods):
+    if set(keys) & set(filled_columns):
         raise CleaningError("a column cannot be filled along itself")
     outputs = []
     for i, (c, method) in enumerate(methods.items()):
@@ -93,12 +107,13 @@ def fill_ordered(
             raise CleaningError(f"unknown direction '{method}'")
         near, far = ("last", "first") if method == "forward" else ("next", "final")
         outputs += [Running(f"__n{i}", near, F.col(c)), Running(f"__f{i}", far, F.col(c))]
+    outputs += [Running(f"__s{j}", "sum", F.col(c).isNull().cast("bigint")) for j, c in enumerate(ranked)]
     lacking = F.lit(False)
-    for c in methods:
+    for c in filled_columns:
         df = df.withColumn(c, missing_nan(F.col(c), df.schema[c].dataType))
         lacking = lacking | F.col(c).isNull()
-    rest = [c for c in df.columns if c not in keys and c not in methods]
-    slim = df.select(*keys, *methods, lacking.alias(NEEDY), *(
+    rest = [c for c in df.columns if c not in keys and c not in filled_columns]
+    slim = df.select(*keys, *filled_columns, lacking.alias(NEEDY), *(
         [F.when(lacking, F.struct(*rest)).alias(PAYLOAD)] if rest else []
     ))
     scanned = running(slim, order_by, outputs, partition_by, buckets).where(NEEDY)
@@ -106,8 +121,8 @@ def fill_ordered(
     done = scanned.select(*[
         filled[c].alias(c) if c in filled else F.col(f"{PAYLOAD}.{c}") if c in rest else F.col(c)
         for c in df.columns
-    ])
-    return df.where(~lacking).unionByName(done)
+    ], *[(F.col(f"__s{j}") - 1).alias(f"__r{j}") for j in range(len(ranked))])
+    return done, lacking, df
 
 
 def fill_forward(df: DataFrame, column: str, order_by: Sequence[str], **kw: Any) -> DataFrame:
@@ -118,58 +133,93 @@ def fill_backward(df: DataFrame, column: str, order_by: Sequence[str], **kw: Any
     return fill_ordered(df, {column: "backward"}, order_by, **kw)
 
 
-def fill_sequential(
-    df: DataFrame, column: str, order_by: Sequence[str], buckets: int | None = None
-) -> DataFrame:
-    """Fill a prefix+number identifier: the k-th missing cell gets the k-th number missing
-    between the smallest and the largest, then the numbers after the largest. Without a prefix on
-    at least half of the cells, 'Unknown'.
-
-    Rows that have an identifier never move. The missing rows are ranked, the gaps between the
-    distinct numbers become intervals of ranks, and each rank takes the latest interval that
-    starts at or before it; no range of numbers is spelled out.
-    """
-    require_columns(df, column, *order_by)
-    df = df.withColumn(column, F.col(column).cast("string"))
+def _sequence(df: DataFrame, column: str, order_by: Sequence[str]) -> IdPattern | None:
+    """The pattern to continue, if one prefix stands on at least half of the cells."""
     fit = fit_id_pattern(df, column, order_by)
     usable = fit is not None and fit.cells >= 2 and fit.matches >= fit.cells * 0.5 and fit.high is not None
-    if not usable:
-        return fill_value(df, {column: "Unknown"})
-    if fit.nulls == 0:
-        return df
+    return fit if usable else None
+
 
+def _gaps(df: DataFrame, column: str, fit: IdPattern, buckets: int | None) -> DataFrame:
+    """The numbers to hand out as intervals: from rank ``pos`` on, ``first`` and upwards."""
     digits = id_digits(F.col(column))
     numbers = df.where(id_prefix(F.col(column), digits) == fit.prefix).select(
         digits.try_cast("bigint").alias("n")).where(F.col("n").isNotNull()).distinct()
-    spark = df.sparkSession
     # A number far enough past the largest closes the last interval.
-    end = spark.range(1).select(F.lit(fit.high + fit.nulls + 1).cast("bigint").alias("n"))
+    end = df.sparkSession.range(1).select(F.lit(fit.high + fit.nulls + 1).cast("bigint").alias("n"))
+    bucket = range_bucket(numbers, ["n"], buckets, rows=fit.matches)
     steps = running(numbers.unionByName(end), ["n"],
-                    [Running("i", "rank"), Running("p", "previous", F.col("n"))], buckets=buckets)
+                    [Running("i", "rank"), Running("p", "previous", F.col("n"))], bucket=bucket)
     # Before number p there are (p - low) - (i - 1) missing numbers.
     start = (F.col("p") - F.lit(fit.low) - (F.col("i") - 1)).alias("pos")
     gaps = steps.where(F.col("n") > F.col("p") + 1).select(start, (F.col("p") + 1).alias("first"))
-    gaps = gaps.where(F.col("pos") < fit.nulls)
+    return gaps.where(F.col("pos") < fit.nulls)
 
-    ranked = running(df.where(F.col(column).isNull()), order_by, [Running("pos", "rank")], buckets=buckets)
-    rest = [c for c in df.columns if c != column]
-    asked = ranked.select("pos", F.lit(1).alias("kind"), F.lit(None).cast("struct<a:bigint,b:bigint>").alias("gap"),
-                          F.struct(*rest).alias(PAYLOAD))
+
+def _hand_out(asking: DataFrame, rank: str, column: str, fit: IdPattern, gaps: DataFrame, buckets: int | None) -> DataFrame:
+    """Give each asking row the number of its rank: the latest interval that starts at or before
+    it. No range of numbers is spelled out."""
+    rest = [c for c in asking.columns if c not in (column, rank)]
+    asked = asking.select(F.col(rank).alias("pos"), F.lit(1).alias("kind"),
+                          F.lit(None).cast("struct<a:bigint,b:bigint>").alias("gap"), F.struct(*rest).alias(PAYLOAD))
     given = gaps.select("pos", F.lit(0).alias("kind"),
                         F.struct(F.col("pos").alias("a"), F.col("first").alias("b")).alias("gap"))
     both = given.unionByName(asked, allowMissingColumns=True)
     # Positions run from 0 to nulls - 1 with at most two rows each: equal cuts are balanced.
-    parts = buckets or bucket_count(fit.nulls, spark)
+    parts = buckets or bucket_count(fit.nulls, asking.sparkSession)
     bucket = F.floor(F.col("pos") * F.lit(parts) / F.lit(fit.nulls)).cast("int")
     matched = running(both, ["pos", "kind"], [Running("at", "last", F.col("gap"))], bucket=bucket)
     number = (F.col("at.b") + F.col("pos") - F.col("at.a")).cast("string")
-    filled = matched.where(F.col("kind") == 1).select(*[
+    return matched.where(F.col("kind") == 1).select(*[
         id_text(fit.prefix, number, fit.width).alias(c) if c == column else F.col(f"{PAYLOAD}.{c}")
-        for c in df.columns
+        for c in asking.columns if c != rank
     ])
+
+
+def fill_sequential(
+    df: DataFrame, column: str, order_by: Sequence[str], buckets: int | None = None
+) -> DataFrame:
+    """Fill a prefix+number identifier: the k-th missing cell gets the k-th number missing
+    between the smallest and the largest, then the numbers after the largest. Without a prefix on
+    at least half of the cells, 'Unknown'. Rows that have an identifier never move."""
+    require_columns(df, column, *order_by)
+    df = df.withColumn(column, F.col(column).cast("string"))
+    fit = _sequence(df, column, order_by)
+    if fit is None:
+        return fill_value(df, {column: "Unknown"})
+    if fit.nulls == 0:
+        return df
+    ranked = running(df.where(F.col(column).isNull()), order_by, [Running("__r0", "rank")], buckets=buckets)
+    filled = _hand_out(ranked, "__r0", column, fit, _gaps(df, column, fit, buckets), buckets)
     return df.where(F.col(column).isNotNull()).unionByName(filled)
 
 
+def fill_rows(
+    df: DataFrame, ordered: dict[str, str], sequential: Sequence[str], order_by: Sequence[str],
+    buckets: int | None = None,
+) -> DataFrame:
+    """Ordered and sequential fills of different columns with one scan of the row order. All fits
+    read ``df`` itself; the rows that lack something are written once, as each sequential column
+    goes through them again."""
+    if not sequential:
+        return fill_ordered(df, ordered, order_by, buckets=buckets) if ordered else df
+    if not ordered and len(sequential) == 1:
+        return fill_sequential(df, sequential[0], order_by, buckets)
+    df = df.withColumns({c: F.col(c).cast("string") for c in sequential})
+    fits = {c: _sequence(df, c, order_by) for c in sequential}
+    df = fill_value(df, {c: "Unknown" for c, fit in fits.items() if fit is None})
+    todo = [c for c, fit in fits.items() if fit is not None and fit.nulls]
+    if not todo:
+        return fill_ordered(df, ordered, order_by, buckets=buckets) if ordered else df
+    done, lacking, df = _scan_needy(df, ordered, todo, order_by, buckets=buckets)
+    needy = materialize(done)
+    for j, c in enumerate(todo):
+        rank = f"__r{j}"
+        filled = _hand_out(needy.where(F.col(c).isNull()), rank, c, fits[c], _gaps(df, c, fits[c], buckets), buckets)
+        needy = needy.where(F.col(c).isNotNull()).drop(rank).unionByName(filled)
+    return df.where(~lacking).unionByName(needy)
+
+
 def fill_null(
     df: DataFrame, column: str, method: str, value: Any = None, order_by: Sequence[str] = ()
 ) -> DataFrame:

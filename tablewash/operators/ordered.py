@@ -14,7 +14,7 @@ not depend on them.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -55,6 +55,8 @@ def bucket_count(rows: int, spark) -> int:
 
 
 def _key(names: Sequence[str]) -> Column:
+    if len(names) == 1:
+        return F.col(names[0])
     return F.struct(*[F.col(n).alias(f"k{i}") for i, n in enumerate(names)])
 
 
@@ -96,11 +98,18 @@ def range_bucket(
     text, schema, width = _boundaries(df, names, buckets, rows)
     if text in ("[]", "[[]]"):
         return F.lit(0)
-    key = _key(names)
     bounds = F.from_json(F.lit(text), schema)
-    chunk = F.greatest(F.size(F.filter(bounds, lambda c: F.get(c, F.lit(0)) <= key)) - 1, F.lit(0))
-    inside = F.size(F.filter(F.get(bounds, chunk), lambda b: b <= key))
-    return (chunk * F.lit(width) + inside).cast("int")
+
+    def place(key: Column) -> Column:
+        chunk = F.greatest(F.size(F.filter(bounds, lambda c: F.get(c, F.lit(0)) <= key)) - 1, F.lit(0))
+        return _let(chunk, lambda i: i * F.lit(width) + F.size(F.filter(F.get(bounds, i), lambda b: b <= key)))
+
+    return _let(_key(names), place).cast("int")
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def running(

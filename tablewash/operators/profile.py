@@ -76,9 +76,8 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             real = cell.cast("double")
         else:
             txt = cell.cast("string")
-        entries.append(F.when(cell.isNotNull(), F.struct(
-            F.lit(i).alias("col"), whole.alias("whole"), real.alias("real"), txt.alias("txt"))))
-    cells = df.select(F.inline(F.array_compact(F.array(*entries))))
+        entries.append(F.struct(F.lit(i).alias("col"), whole.alias("whole"), real.alias("real"), txt.alias("txt")))
+    cells = df.select(F.inline(F.array(*entries))).where("whole is not null or real is not null or txt is not null")
     return cells.groupBy("col", "whole", "real", "txt").agg(F.count(F.lit(1)).alias("n"))
 
 

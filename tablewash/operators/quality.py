@@ -69,13 +69,14 @@ def _values(df: DataFrame, columns: list[str], numeric: set[str], side: str) ->
         col = F.lit(i).alias("col")
         if c in numeric:
             x = to_float(F.col(c), kind)
-            entries.append(F.when(x.isNotNull(), F.struct(col, x.alias("x"), F.lit(None).cast("string").alias("s"))))
+            entries.append(F.struct(col, x.alias("x"), F.lit(None).cast("string").alias("s")))
         else:
             s = F.coalesce(missing_nan(F.col(c), kind).cast("string"), F.lit(MISSING_TEXT))
             entries.append(F.struct(col, F.lit(None).cast("double").alias("x"), s.alias("s")))
     mine, other = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     a, b = (mine, other) if side == "a" else (other, mine)
-    return df.select(F.inline(F.array_compact(F.array(*entries)))).withColumns({"a": a, "b": b})
+    cells = df.select(F.inline(F.array(*entries))).where("x is not null or s is not null")
+    return cells.withColumns({"a": a, "b": b})
 
 
 def column_matches(current: DataFrame, truth: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -109,10 +110,10 @@ def _column_matches(current, truth, columns, cur: _Side, ref: _Side, buckets=Non
     if number_ids:
         # Numbers match within a tolerance, so different values can match: walk along the
         # positions at which either side moves on to another value.
-        moves = spans.where(F.col("col").isin(number_ids)).select("col", F.inline(F.array_compact(F.array(
-            F.when(F.col("a") > 0, F.struct(start_a.alias("pos"), F.col("x").alias("va"), F.lit(None).cast("double").alias("vb"))),
-            F.when(F.col("b") > 0, F.struct(start_b.alias("pos"), F.lit(None).cast("double").alias("va"), F.col("x").alias("vb"))),
-        )))).groupBy("col", "pos").agg(F.max("va").alias("va"), F.max("vb").alias("vb"))
+        moves = spans.where(F.col("col").isin(number_ids)).select("col", F.inline(F.array(
+            F.struct(start_a.alias("pos"), F.when(F.col("a") > 0, F.col("x")).alias("va"), F.lit(None).cast("double").alias("vb")),
+            F.struct(start_b.alias("pos"), F.lit(None).cast("double").alias("va"), F.when(F.col("b") > 0, F.col("x")).alias("vb")),
+        ))).where("va is not null or vb is not null").groupBy("col", "pos").agg(F.max("va").alias("va"), F.max("vb").alias("vb"))
         longest = max(1, *(max(cur.numbers[columns[i]], ref.numbers[columns[i]]) for i in number_ids))
         cuts = buckets or bucket_count(longest, spark)
         # At most one row per position: equal cuts of the positions are balanced.

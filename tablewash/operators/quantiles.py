@@ -1,8 +1,10 @@
 """Exact quantiles without collecting a column into one task.
 
-``percentile`` keeps every distinct value of a column in the memory of one reducer, so it is used
-only after a count has shown the column to be small. Otherwise a first pass brackets the wanted ranks with sketches, and a second pass counts the values: those outside
-the brackets only by cell, those inside one by one. The result is exact, not an estimate.
+``percentile`` keeps every distinct value of a column in the memory of one reducer. Here equal
+values collapse first, and the wanted ranks are found by running counts. For a column too long to
+be sorted by one task, a first pass brackets the wanted ranks with sketches; values outside the
+brackets are then counted only by cell, those inside one by one. The result is exact, not an
+estimate.
 """
 
 from __future__ import annotations
@@ -19,8 +21,7 @@ from tablewash.functions.parse import to_float
 
 SKETCH_ACCURACY = 2_000   # rank error of a sketch is at most rows / SKETCH_ACCURACY
 MARGIN = 0.002            # brackets reach this far to both sides, four times that error
-SMALL = 100_000           # up to this many values the bracket is the whole range
-NATIVE_LIMIT = 1_000_000  # up to this many rows ``percentile`` does the work
+SMALL = 1_000_000         # up to this many values the bracket is the whole range
 SKETCH_GROUPS = 64        # sketches meet in this many reducers before the last one
 
 
@@ -28,7 +29,7 @@ def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probs: Sequence[float] = (0.25, 0.5, 0.75),
-    native_limit: int = NATIVE_LIMIT,
+    small: int = SMALL,
 ) -> dict[str, list[float | None]]:
     """Quantiles with linear interpolation, NULL and NaN left out; None for an empty column.
     Two passes over the named columns for any number of columns and probabilities."""
@@ -37,10 +38,7 @@ def exact_quantiles(
         return {}
     numbers = [to_float(F.col(c), df.schema[c].dataType).alias(f"x{i}") for i, c in enumerate(columns)]
     table = df.select(*numbers)
-    if table.agg(F.count(F.lit(1))).first()[0] <= native_limit:
-        row = table.agg(*[F.percentile(f"x{i}", list(probs)) for i in range(len(columns))]).first()
-        return {c: list(row[i]) if row[i] is not None else [None] * len(probs) for i, c in enumerate(columns)}
-    shapes = _brackets(table, len(columns), probs)
+    shapes = _brackets(table, len(columns), probs, small)
 
     ranks: list[list[tuple[int, int, float]]] = []
     for n, _ in shapes:
@@ -70,45 +68,50 @@ def approx_quantiles(
     return {c: list(row[i]) if row[i] is not None else [None] * len(probs) for i, c in enumerate(columns)}
 
 
-def _brackets(table: DataFrame, columns: int, probs: Sequence[float]):
+def _brackets(table: DataFrame, columns: int, probs: Sequence[float], small: int):
     """Per column: number of values, and disjoint ascending intervals that hold every wanted
-    rank. A quantile of the whole lies between the least and the greatest of the groups'
-    quantiles, so the groups can be sketched apart."""
+    rank."""
+    parts = []
+    for i in range(columns):
+        x = F.col(f"x{i}")
+        parts += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"z{i}")]
+    row = table.agg(*parts).first()
+    long = [i for i in range(columns) if row[f"n{i}"] > small]
+    spans = _sketched(table, long, probs) if long else {}
+    return [
+        (row[f"n{i}"], spans.get(i, [(row[f"a{i}"], row[f"z{i}"])] if row[f"n{i}"] else []))
+        for i in range(columns)
+    ]
+
+
+def _sketched(table: DataFrame, columns: Sequence[int], probs: Sequence[float]) -> dict[int, list]:
+    """A quantile of the whole lies between the least and the greatest of the groups' quantiles,
+    so the groups can be sketched apart and no reducer merges the sketches of all tasks."""
     low = [max(0.0, p - MARGIN) for p in probs]
     high = [min(1.0, p + MARGIN) for p in probs]
     partial, total = [], []
-    for i in range(columns):
-        x = F.col(f"x{i}")
-        partial += [
-            F.count(x).alias(f"n{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"z{i}"),
-            F.percentile_approx(x, low + high, SKETCH_ACCURACY).alias(f"q{i}"),
-        ]
-        total += [F.sum(f"n{i}").alias(f"n{i}"), F.min(f"a{i}").alias(f"a{i}"), F.max(f"z{i}").alias(f"z{i}")]
+    for i in columns:
+        partial.append(F.percentile_approx(f"x{i}", low + high, SKETCH_ACCURACY).alias(f"q{i}"))
         total += [F.min(F.get(f"q{i}", F.lit(j))).alias(f"l{i}_{j}") for j in range(len(probs))]
         total += [F.max(F.get(f"q{i}", F.lit(j + len(probs)))).alias(f"h{i}_{j}") for j in range(len(probs))]
     grouped = table.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)))
     row = grouped.groupBy("g").agg(*partial).agg(*total).first()
-
-    shapes = []
-    for i in range(columns):
-        n = row[f"n{i}"] or 0
-        if n <= SMALL:
-            spans = [(row[f"a{i}"], row[f"z{i}"])] if n else []
-        else:
-            spans = []
-            for lo, hi in sorted((row[f"l{i}_{j}"], row[f"h{i}_{j}"]) for j in range(len(probs))):
-                if spans and lo <= spans[-1][1]:
-                    spans[-1] = (spans[-1][0], max(hi, spans[-1][1]))
-                else:
-                    spans.append((lo, hi))
-        shapes.append((n, spans))
-    return shapes
+    spans: dict[int, list] = {}
+    for i in columns:
+        merged: list[tuple[float, float]] = []
+        for lo, hi in sorted((row[f"l{i}_{j}"], row[f"h{i}_{j}"]) for j in range(len(probs))):
+            if merged and lo <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(hi, merged[-1][1]))
+            else:
+                merged.append((lo, hi))
+        spans[i] = merged
+    return spans
 
 
 def _cell(x: Column, n: int, spans: list[tuple[float, float]]) -> tuple[Column, Column]:
     """An ascending cell number, and whether the cell keeps its values one by one. A bracket is
     cut into equal parts so that no single task sorts a whole bracket."""
-    parts = max(1, min(4_096, n // 50_000))
+    parts = max(1, min(4_096, n // 20_000))
     cell, inside = None, F.lit(False)
     for j, (lo, hi) in enumerate(spans):
         base = j * (parts + 3)
@@ -123,15 +126,15 @@ def _cell(x: Column, n: int, spans: list[tuple[float, float]]) -> tuple[Column,
 
 
 def _select_ranks(table: DataFrame, shapes, wanted) -> dict[tuple[int, int], float]:
-    entries = []
-    for i, (n, spans) in enumerate(shapes):
-        if n:
-            x = F.col(f"x{i}")
-            cell, inside = _cell(x, n, spans)
-            entries.append(F.when(x.isNotNull(), F.struct(
-                F.lit(i).alias("col"), cell.alias("cell"), F.when(inside, x).alias("key"), x.alias("x"))))
+    used = [i for i, (n, _) in enumerate(shapes) if n]
+    x, cell, inside = F.col("x"), None, None
+    for i in used:
+        mine, (here, within) = F.col("col") == f"x{i}", _cell(x, *shapes[i])
+        cell = F.when(mine, here) if cell is None else cell.when(mine, here)
+        inside = F.when(mine, within) if inside is None else inside.when(mine, within)
     counts = (
-        table.select(F.inline(F.array_compact(F.array(*entries))))
+        table.unpivot([], [f"x{i}" for i in used], "col", "x").where(x.isNotNull())
+        .select("col", cell.alias("cell"), F.when(inside, x).alias("key"), "x")
         .groupBy("col", "cell", "key").agg(F.count(F.lit(1)).alias("c"), F.max("x").alias("v"))
     )
     # One row per cell: a few thousand rows per column at most.
@@ -141,7 +144,7 @@ def _select_ranks(table: DataFrame, shapes, wanted) -> dict[tuple[int, int], flo
         .withColumn("end", F.sum("size").over(by_cell))
         .withColumn("start", F.col("end") - F.col("size"))
     )
-    hits = F.array(*[F.struct(F.lit(i).alias("col"), F.lit(r).cast("long").alias("rank")) for i, r in wanted])
+    hits = F.array(*[F.struct(F.lit(f"x{i}").alias("col"), F.lit(r).cast("long").alias("rank")) for i, r in wanted])
     targets = cells.select("cell", "start", "end", F.col("col"), F.inline(hits).alias("hit_col", "rank")).where(
         (F.col("col") == F.col("hit_col")) & (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("end"))
     )
@@ -158,4 +161,4 @@ def _select_ranks(table: DataFrame, shapes, wanted) -> dict[tuple[int, int], flo
     for row in found:
         if not row["exact"]:
             raise RuntimeError("a quantile fell outside its bracket")
-    return {(row["col"], row["rank"]): row["v"] for row in found}
+    return {(int(row["col"][1:]), row["rank"]): row["v"] for row in found}

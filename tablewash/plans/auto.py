@@ -12,7 +12,7 @@ from tablewash.functions.text import BOOLEAN_MAP
 from tablewash.functions.typing import logical_type, string_columns
 from tablewash.operators import cells
 from tablewash.operators.detect import TYPE_SAMPLE, cell_signs, detect_dates, detect_identifiers, detect_sequential
-from tablewash.operators.fills import fill_ordered, fill_sequential, fill_value
+from tablewash.operators.fills import fill_rows, fill_value
 from tablewash.operators.fits import fit_median
 from tablewash.operators.profile import null_counts
 from tablewash.operators.rows import drop_duplicates, remove_outliers_all
@@ -70,11 +70,8 @@ def _fill(df: DataFrame, order_by: Sequence[str], dates: Sequence[str], row_id:
         sequential = [c for c in texts if c in named & running]
     medians = fit_median(df, numbers) if numbers else {}
     constants = {c: "Unknown" for c in texts if c not in sequential}
-    out = fill_value(df, {**medians, **constants})
-    if ordered:
-        out = fill_ordered(out, {c: "forward" for c in ordered}, order_by)
-    for c in sequential:
-        out = fill_sequential(out, c, order_by)
+    filled = fill_rows(df, {c: "forward" for c in ordered}, sequential, order_by)
+    out = fill_value(filled, {**medians, **constants})
     return out.select(*df.columns)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from tablewash.errors import CleaningError
 from tablewash.operators import cells, fills, relate, rows
 from tablewash.operators.fits import fit_median, fit_moments
+from tablewash.session import materialize
 from tablewash.sources.tables import TableSet
 
 # The fields each kind of step needs, and the choices some fields have.
@@ -34,6 +35,8 @@ CHOICES = {
     ("remove_outliers", "outlier_method"): ("iqr", "zscore"),
 }
 LINK_STEPS = ("lookup_fill", "validate_foreign_key")
+FITTED_STEPS = ("normalize", "remove_outliers", "standardize_format")
+ORDERED_FILLS = ("forward_fill", "backward_fill", "sequential")
 
 
 @dataclass(frozen=True)
@@ -138,16 +141,26 @@ def run_steps(
     todo = as_steps(steps)
     if isinstance(target, TableSet):
         return _run_on_set(target, todo)
+    shuffled = False
     while todo:
         group = _fill_group(todo)
+        if shuffled and _fits(todo[0]):
+            # A fit reads its input again. After a shuffle, one written copy costs less.
+            target, shuffled = materialize(target), False
         if len(group) > 1:
             target = _fill_together(target, group, order_by)
         else:
             target = apply_step(target, todo[0], order_by, row_id)
-        todo = todo[max(1, len(group)):]
+        taken = todo[:max(1, len(group))]
+        shuffled = shuffled or any(s.action_type == "drop_duplicates" or s.method in ORDERED_FILLS for s in taken)
+        todo = todo[len(taken):]
     return target
 
 
+def _fits(step: Step) -> bool:
+    return step.action_type in FITTED_STEPS or (step.action_type == "fill_null" and step.method != "constant")
+
+
 def _run_on_set(tables: TableSet, steps: list[Step]) -> TableSet:
     while steps:
         step = steps[0]
@@ -202,14 +215,10 @@ def _fill_together(df: DataFrame, group: list[Step], order_by: Sequence[str]) ->
         values.update({c: m.mean for c, m in fit_moments(df, means).items()})
     if medians:
         values.update(fit_median(df, medians))
-    out = df
-    ordered = {s.column: s.method.removesuffix("_fill") for m in ("forward_fill", "backward_fill") for s in by_method.get(m, [])}
-    if ordered:
-        out = fills.fill_ordered(out, ordered, order_by)
-    for s in by_method.get("sequential", []):
-        out = fills.fill_sequential(out, s.column, order_by)
+    ordered = {s.column: s.method.removesuffix("_fill") for m in ORDERED_FILLS[:2] for s in by_method.get(m, [])}
+    out = fills.fill_rows(df, ordered, [s.column for s in by_method.get("sequential", [])], order_by)
     for s in by_method.get("mode", []):
-        out = fills.fill_mode(out, s.column)
+        values[s.column] = fills.mode_of(df, s.column)
     for s in by_method.get("constant", []):
         out = fills.fill_constant(out, s.column, s.constant_value)
     return fills.fill_value(out, values)
