@@ -41,8 +41,8 @@ def _any(text: str, words: Sequence[str]) -> bool:
 
 def fill_choice(hint: str, kind: str, looks_sequential: bool) -> tuple[str, str | None]:
     """The fill method for a column, and the constant if it is one."""
+    quoted = re.search(r"constant\s+['\"]([^'\"]+)['\"]", hint, re.IGNORECASE)
     hint = hint.lower()
-    quoted = re.search(r"constant\s+['\"]([^'\"]+)['\"]", hint)
     identifier = kind == "string" and _any(hint, NAMED) and not _any(hint, HANDS_OFF)
     dated = kind in ("string", "datetime") and "date" in hint and _any(hint, ("missing", "null"))
     choices = (

@@ -43,7 +43,7 @@ def plain(df, group, order):
         F.lag("t").over(w).alias("p"), F.lead("t").over(w).alias("w"))
 
 
-@pytest.mark.parametrize("buckets", [1, 2, 9, 64])
+@pytest.mark.parametrize("buckets", [1, 13])
 @pytest.mark.parametrize("group, order", [([], ["k"]), ([], ["d", "k"]), (["g"], ["k"]), (["g", "d"], ["k"])])
 def test_running_equals_plain_window(table, group, order, buckets):
     got = running(table, order, outputs(), group, buckets).collect()
