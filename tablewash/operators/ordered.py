@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from tablewash.errors import CleaningError, require_columns
 
-BUCKET = "__bucket"
+BUCKET, GROUP = "__bucket", "__group"
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 16_384
 SAMPLES_PER_BUCKET = 16
@@ -132,22 +132,23 @@ def running(
     require_columns(df, *order_by, *group)
     if bucket is None:
         bucket = range_bucket(df, group + order_by, buckets)
+    # The group as one struct: unlike its columns it is never NULL, so plain equality joins it.
+    key = [GROUP, BUCKET] if group else [BUCKET]
     rows = df.withColumn(BUCKET, bucket)
+    if group:
+        rows = rows.withColumn(GROUP, F.struct(*group))
 
     position = F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)
-    summary = rows.groupBy(*group, BUCKET).agg(*[_summary(o, position).alias(o.name) for o in outputs])
+    summary = rows.groupBy(*key).agg(*[_summary(o, position).alias(o.name) for o in outputs])
     carry = summary.select(
-        *[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)],
-        F.col(BUCKET).alias("__b"),
-        *[_carried(o, group).alias(f"__c_{o.name}") for o in outputs],
+        *[F.col(k).alias(f"{k}_c") for k in key],
+        *[_carried(o, key[:-1]).alias(f"__c_{o.name}") for o in outputs],
     )
-    same = F.col(BUCKET) == F.col("__b")
-    for i, g in enumerate(group):
-        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
-    if not group:  # one row per bucket: at most MAX_BUCKETS rows
-        carry = F.broadcast(carry)
+    # Rows and carried state meet by the key that also partitions the scan, so the rows are
+    # shuffled once. Whether the carried side is broadcast is left to its measured size.
+    same = [F.col(k) == F.col(f"{k}_c") for k in key]
     joined = rows.join(carry, same, "left")
-    return joined.select(*df.columns, *[_scanned(o, group, order_by).alias(o.name) for o in outputs])
+    return joined.select(*df.columns, *[_scanned(o, key, order_by).alias(o.name) for o in outputs])
 
 
 def _summary(o: Running, position: Column) -> Column:
@@ -191,13 +192,13 @@ def _carried(o: Running, group: list[str]) -> Column:
     return F.first(state, ignorenulls=True).over(whole)
 
 
-def _scanned(o: Running, group: list[str], order_by: list[str]) -> Column:
+def _scanned(o: Running, key: list[str], order_by: list[str]) -> Column:
     """The scan inside a bucket, joined to what was carried into it."""
-    ordered = Window.partitionBy(*group, BUCKET).orderBy(*order_by)
+    ordered = Window.partitionBy(*key).orderBy(*order_by)
     so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     backwards = [F.col(c).desc_nulls_last() for c in order_by]
-    ahead = Window.partitionBy(*group, BUCKET).orderBy(*backwards).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*key).orderBy(*backwards).rowsBetween(Window.unboundedPreceding, 0)
     carried = F.col(f"__c_{o.name}")
     if o.kind == "rank":
         return F.row_number().over(ordered) - 1 + F.coalesce(carried, F.lit(0))
