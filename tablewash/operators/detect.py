@@ -16,7 +16,7 @@ from tablewash.errors import CleaningError, require_columns
 from tablewash.functions.parse import to_float, to_timestamp_mixed
 from tablewash.functions.text import BOOLEAN_WORDS, id_digits, id_prefix, strip
 from tablewash.functions.typing import logical_type, numeric_columns, string_columns
-from tablewash.operators.fits import fit_bounds, fit_moments
+from tablewash.operators.fits import fit_bounds
 from tablewash.operators.profile import cardinality, distribution, duplicate_count, null_counts, overview
 from tablewash.operators.rows import kept
 
@@ -98,10 +98,8 @@ def detect_sequential(df: DataFrame, order_by: Sequence[str], sample: int | None
 def outlier_counts(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """Cells beyond 1.5 IQR per numeric column with ten values and some spread."""
     columns = numeric_columns(df) if columns is None else list(columns)
-    counts = {c: m.count for c, m in fit_moments(df, columns).items()} if columns else {}
-    columns = [c for c in columns if counts[c] >= 10]
     bounds = fit_bounds(df, columns, exact=exact) if columns else {}
-    columns = [c for c in columns if bounds[c].spread]
+    columns = [c for c in columns if bounds[c].count >= 10 and bounds[c].spread]
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, outliers bigint")
     sums = [F.count_if(~kept(df, c, bounds[c])).alias(f"n{i}") for i, c in enumerate(columns)]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tablewash.errors import CleaningError, require_columns
 from tablewash.functions.parse import missing_nan, to_float
 from tablewash.functions.text import id_digits, id_prefix
-from tablewash.operators.quantiles import approx_quantiles, exact_quantiles
+from tablewash.operators.quantiles import approx_quantiles, counted_quantiles, exact_quantiles
 
 
 @dataclass(frozen=True)
@@ -93,10 +93,15 @@ def fit_bounds(
     deviation (default 3)."""
     if method == "iqr":
         t = 1.5 if threshold is None else threshold
-        quantiles = exact_quantiles if exact else approx_quantiles
+        if exact:
+            fitted = counted_quantiles(df, columns, (0.25, 0.75))
+        else:
+            counts = fit_moments(df, columns)
+            fitted = {c: (counts[c].count, q) for c, q in approx_quantiles(df, columns, (0.25, 0.75)).items()}
         return {
-            c: Bounds(None, None) if q1 is None else Bounds(q1 - t * (q3 - q1), q3 + t * (q3 - q1), spread=q3 - q1)
-            for c, (q1, q3) in quantiles(df, columns, (0.25, 0.75)).items()
+            c: Bounds(None, None) if q1 is None
+            else Bounds(q1 - t * (q3 - q1), q3 + t * (q3 - q1), count, q3 - q1)
+            for c, (count, (q1, q3)) in fitted.items()
         }
     if method == "zscore":
         t = 3.0 if threshold is None else threshold

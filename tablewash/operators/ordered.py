@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tablewash.errors import CleaningError, require_columns
@@ -27,6 +28,7 @@ BUCKET, GROUP = "__bucket", "__group"
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 16_384
 SAMPLES_PER_BUCKET = 16
+KEY_TEXT = 256
 
 
 @dataclass(frozen=True)
@@ -54,10 +56,14 @@ def bucket_count(rows: int, spark) -> int:
     return max(1, min(MAX_BUCKETS, max(parallel, math.ceil(rows / ROWS_PER_BUCKET))))
 
 
-def _key(names: Sequence[str]) -> Column:
-    if len(names) == 1:
-        return F.col(names[0])
-    return F.struct(*[F.col(n).alias(f"k{i}") for i, n in enumerate(names)])
+def _key(df: DataFrame, names: Sequence[str]) -> Column:
+    """The key rows are bucketed by. A long text stands there with its beginning, which ascends
+    with the text and keeps the boundaries small; the scan itself compares whole texts."""
+    parts = [
+        F.left(F.col(n), F.lit(KEY_TEXT)) if isinstance(df.schema[n].dataType, T.StringType) else F.col(n)
+        for n in names
+    ]
+    return parts[0] if len(parts) == 1 else F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
 
 
 def _boundaries(
@@ -66,7 +72,7 @@ def _boundaries(
     """Bucket boundaries as JSON: a two-level array, so that a row is placed with about
     2*sqrt(buckets) comparisons. They come from a sample of the keys chosen by hash, of about
     SAMPLES_PER_BUCKET keys per bucket whatever the size of the table."""
-    keys = df.select(_key(names).alias("k"))
+    keys = df.select(_key(df, names).alias("k"))
     if rows is None:
         rows = df.agg(F.count(F.lit(1))).first()[0]
     count = buckets or bucket_count(rows, df.sparkSession)
@@ -104,7 +110,7 @@ def range_bucket(
         chunk = F.greatest(F.size(F.filter(bounds, lambda c: F.get(c, F.lit(0)) <= key)) - 1, F.lit(0))
         return _let(chunk, lambda i: i * F.lit(width) + F.size(F.filter(F.get(bounds, i), lambda b: b <= key)))
 
-    return _let(_key(names), place).cast("int")
+    return _let(_key(df, names), place).cast("int")
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:

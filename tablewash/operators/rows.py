@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablewash.errors import require_columns
 from tablewash.functions.parse import to_float
 from tablewash.functions.typing import numeric_columns
-from tablewash.operators.fits import Bounds, fit_bounds, fit_moments
+from tablewash.operators.fits import Bounds, fit_bounds
 
 
 def drop_duplicates(df: DataFrame, row_id: str | None = None) -> DataFrame:
@@ -47,9 +47,7 @@ def remove_outliers_all(
     Columns with fewer than ``min_values`` numbers or no spread are passed over. The bounds are
     literals, so the next fit reads only the columns it needs and can skip by them in the scan."""
     for c in numeric_columns(df) if columns is None else columns:
-        if min_values and fit_moments(df, [c])[c].count < min_values:
-            continue
         bounds = fit_bounds(df, [c], "iqr", threshold, exact)[c]
-        if bounds.low is not None and (bounds.spread or not min_values):
+        if bounds.low is not None and bounds.count >= min_values and (bounds.spread or not min_values):
             df = df.where(kept(df, c, bounds))
     return df

@@ -68,8 +68,8 @@ def test_plan_never_gathers_rows_in_one_partition(table):
     assert "SinglePartition" in carried  # one row per bucket
 
 
-@pytest.mark.parametrize("small", [0, 1_000_000])
-def test_exact_quantiles(spark, small):
+@pytest.mark.parametrize("small, fine", [(0, 10), (0, 1_000_000), (1_000_000, 1_000_000), (1_000_000, 5)])
+def test_exact_quantiles(spark, small, fine):
     import numpy as np
     rng = np.random.default_rng(7)
     a = np.round(rng.normal(size=5_000), 2)
@@ -77,7 +77,7 @@ def test_exact_quantiles(spark, small):
     rows = [(float(x), None if i % 9 == 0 else float(y), None) for i, (x, y) in enumerate(zip(a, b))]
     df = spark.createDataFrame(rows, "a double, b double, e double").repartition(6)
     probs = (0.0, 0.25, 0.5, 0.75, 0.99, 1.0)
-    got = exact_quantiles(df, ["a", "b", "e"], probs, small=small)
+    got = exact_quantiles(df, ["a", "b", "e"], probs, small=small, fine=fine)
     kept = np.array([y for i, y in enumerate(b) if i % 9])
     assert got["a"] == pytest.approx(list(np.quantile(a, probs)))
     assert got["b"] == pytest.approx(list(np.quantile(kept, probs)))
