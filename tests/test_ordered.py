@@ -62,10 +62,20 @@ def test_buckets_ascend_and_split_a_hot_group(table):
 
 def test_plan_never_gathers_rows_in_one_partition(table):
     scan = running(table, ["k"], [Running("r", "rank")], buckets=8)
+    lines = scan._jdf.queryExecution().executedPlan().toString().splitlines()
+    gathered = [i for i, line in enumerate(lines) if "SinglePartition" in line]
+    # Only the summary is gathered: one row per bucket, straight from its aggregate.
+    assert len(gathered) == 1 and "Aggregate" in lines[gathered[0] + 1]
+    assert sum("Exchange hashpartitioning(__bucket" in line for line in lines) >= 1
+
+
+def test_grouped_scan_shuffles_the_rows_once(table):
+    scan = running(table, ["k"], [Running("r", "rank"), Running("s", "sum", F.col("v"))], ["g"], buckets=8)
     plan = scan._jdf.queryExecution().executedPlan().toString()
-    rows, _, carried = plan.partition("BroadcastExchange")
-    assert "SinglePartition" not in rows
-    assert "SinglePartition" in carried  # one row per bucket
+    above_join = plan[:plan.index("Join")]
+    below_join = plan[plan.index("Join"):]
+    assert above_join.count("Exchange hashpartitioning") + below_join.split("__group_c")[0].count("Exchange hashpartitioning") <= 1
+    assert "SinglePartition" not in plan
 
 
 @pytest.mark.parametrize("small, fine", [(0, 10), (0, 1_000_000), (1_000_000, 1_000_000), (1_000_000, 5)])
