@@ -173,9 +173,9 @@ def describe_columns(
         c, kind, parts = field.name, logical_type(field.dataType), []
         missing = nulls[c]
         if kind in ("int", "float"):
-            stats = numbers[c]
+            stats = numbers.get(c)
             parts.append(
-                f"Numeric column, range {stats['min']:.1f} to {stats['max']:.1f}" if stats["cells"]
+                f"Numeric column, range {stats['min']:.1f} to {stats['max']:.1f}" if stats and stats["cells"]
                 else "Numeric column (all values missing)")
             if missing:
                 parts.append(f"{missing} missing values: fill with median")

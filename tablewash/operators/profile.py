@@ -110,24 +110,27 @@ def distribution(df: DataFrame, columns: Sequence[str] | None = None, exact: boo
     """Count, mean, sample deviation, min, quartiles, max and skew of each numeric column (or of
     the numbers in the given columns)."""
     columns = list(numeric_columns(df) if columns is None else columns)
-    quantiles = (exact_quantiles if exact else approx_quantiles)(df, columns)
-    parts, entries = [], []
-    for i, c in enumerate(columns):
-        x = to_float(F.col(c), df.schema[c].dataType)
-        parts += [
-            F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-            F.min(x).alias(f"a{i}"), F.max(x).alias(f"z{i}"), _skew(x).alias(f"k{i}"),
-        ]
-        q = [F.lit(v).cast("double") for v in quantiles[c]]
-        entries.append(F.struct(
-            F.lit(c).alias("column"), F.col(f"n{i}").alias("cells"), F.col(f"m{i}").alias("mean"),
-            F.col(f"s{i}").alias("std"), F.col(f"a{i}").alias("min"), q[0].alias("q1"), q[1].alias("median"),
-            q[2].alias("q3"), F.col(f"z{i}").alias("max"), F.col(f"k{i}").alias("skew")))
     if not columns:
         schema = "column string, cells bigint, " + ", ".join(
             f"{s} double" for s in ("mean", "std", "min", "q1", "median", "q3", "max", "skew"))
         return df.sparkSession.createDataFrame([], schema)
-    return df.agg(*parts).select(F.inline(F.array(*entries)))
+    quantiles = (exact_quantiles if exact else approx_quantiles)(df, columns)
+    # One row per cell and one small set of aggregates: generated code for all columns side by
+    # side grows too large to be compiled.
+    numbers = df.select(*[
+        to_float(F.col(c), df.schema[c].dataType).alias(f"x{i}") for i, c in enumerate(columns)])
+    x = F.col("x")
+    moments = numbers.unpivot([], numbers.columns, "col", "x").groupBy("col").agg(
+        F.count(x).alias("cells"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+        F.min(x).alias("min"), F.max(x).alias("max"), _skew(x).alias("skew"))
+    known = F.array(*[
+        F.struct(F.lit(c).alias("column"), *[
+            F.lit(v).cast("double").alias(s) for s, v in zip(("q1", "median", "q3"), quantiles[c])])
+        for c in columns
+    ])
+    place = F.substring("col", 2, 9).cast("int")
+    return moments.withColumn("known", F.get(known, place)).select(
+        "known.column", "cells", "mean", "std", "min", "known.q1", "known.median", "known.q3", "max", "skew")
 
 
 def profile_table(df: DataFrame, exact: bool = True) -> DataFrame:

@@ -105,3 +105,10 @@ def test_changed_cells(spark):
     report = [(r["k"], r["column"], r["old_value"], r["new_value"]) for r in diff.sample_changes(before, after, ["k"]).collect()]
     assert report == [(0, "x", "a", "b"), (1, "x", "a", "b"), (2, "x", "a", "b"), (0, "y", "__NA__", "n"), (1, "y", "__NA__", "n")]
     assert diff.sample_changes(before, after.limit(3), ["k"]).count() == 0
+
+
+def test_empty_table(staff):
+    empty = staff.limit(0)
+    assert facts(profile.profile_table(empty))["age"]["rows"] == 0
+    assert detect.describe_columns(empty, ["k"])["age"] == "Numeric column (all values missing)."
+    assert detect.analyze_table(empty, ["k"]).count() == 0
