@@ -28,30 +28,29 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     n_words, word_chars: words ``[^\\x20\\x09-\\x0D]+`` and the code points in them; n_symbols:
     characters of ``#*$%&|<>``; n_lines, n_dup_lines: lines with a word, and those of them equal to an
     earlier line; n_repeat_words: words inside 8-word windows that occur twice or more in the text;
-    n_capitals: upper-case letters A to Z and of Latin-1. A NULL or empty text has 0 of all.
+    n_capitals: upper-case letters A to Z and of Latin-1, 0 if no two stand together. A NULL or empty text has 0 of all.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    blanks = " \t\n\x0b\x0c\r"
-    words = F.array_remove(F.split(F.translate(whole, blanks[1:], " " * 5), " ", -1), "")
+    words = F.array_remove(F.split(whole, "[ \t-\r]+", -1), "")
     lines = F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
-    def counts(w: Column, lines: Column) -> Column:
-        n = F.size(w)
-        bare = F.array_join(w, "")
+    def counts(w: Column, bare: Column, lines: Column) -> Column:
         return F.struct(
-            n.cast("long").alias("n_words"),
+            F.size(w).cast("long").alias("n_words"),
             F.length(bare).cast("long").alias("word_chars"),
-            F.when(bare.rlike(r"[#*$%&|<>]"), F.length(bare) - F.length(F.translate(bare, "#*$%&|<>", "")))
+            F.when(bare.rlike("[#*$%&|<>]"), F.length(bare) - F.length(F.translate(bare, "#*$%&|<>", "")))
             .otherwise(0).cast("long").alias("n_symbols"),
             F.size(lines).cast("long").alias("n_lines"),
             (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
             _repeat_words(w).cast("long").alias("n_repeat_words"),
             # Capitals can only fail their rule where two stand next to each other.
-            F.when(bare.rlike("[A-ZÀ-ÖØ-Þ]{2}"), F.length(F.regexp_replace(bare, "[^A-ZÀ-ÖØ-Þ]", "")))
+            F.when(bare.rlike("[A-ZÀ-ÖØ-Þ]{2}"), F.length(F.regexp_replace(bare, "[^A-ZÀ-ÖØ-Þ]+", "")))
             .otherwise(0).cast("long").alias("n_capitals"),
         )
 
-    return df.withColumn("measures", let(F.struct(words.alias("w"), lines.alias("l")), lambda s: counts(s["w"], s["l"])))
+    parts = F.struct(words.alias("w"), lines.alias("l"))
+    return df.withColumn("measures", let(parts, lambda s: let(
+        F.array_join(s["w"], ""), lambda bare: counts(s["w"], bare, s["l"]))))
 
 
 def _repeat_words(words: Column) -> Column:
@@ -64,8 +63,8 @@ def _repeat_words(words: Column) -> Column:
         lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))))
 
     def covered(w: Column) -> Column:
-        placed = F.array_sort(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        starts = let(placed, lambda s: F.array_sort(F.transform(
+        placed = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        starts = let(placed, lambda s: F.sort_array(F.transform(
             F.filter(s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"])),
             lambda x: x["i"])))
         return let(starts, lambda s: F.aggregate(
