@@ -7,12 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewash.llm import chat, quality, sharding
+from tablewash.llm import chat, packing, quality, sharding, tokens
 from tablewash.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file; it comes with an installed package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -48,9 +62,18 @@ def op7_sharding(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFram
         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(
+        "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "text")
+    counted = tokens.count_tokens(docs, tokenizer_file("byte_bpe_50k.json"), keep_text=False)
+    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 QUERIES: dict[str, Query] = {
+    "op2_packing": op2_packing,
     "op3_chat_format": op3_chat_format,
     "op4_quality_rules": op4_quality_rules,
     "op7_sharding": op7_sharding,
+    "op8_token_counts": op8_token_counts,
 }
 ORACLES: dict[str, str] = {}
