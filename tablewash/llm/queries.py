@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewash.llm import chat, packing, quality, sharding, tokens
+from tablewash.llm import chat, near_dups, packing, quality, sharding, tokens
 from tablewash.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,11 +69,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dups.near_duplicates(docs).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 QUERIES: dict[str, Query] = {
     "op2_packing": op2_packing,
     "op3_chat_format": op3_chat_format,
     "op4_quality_rules": op4_quality_rules,
     "op7_sharding": op7_sharding,
     "op8_token_counts": op8_token_counts,
+    "op9_ngram_join": op9_ngram_join,
 }
 ORACLES: dict[str, str] = {}
