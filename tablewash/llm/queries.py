@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewash.llm import chat, near_dups, packing, quality, sharding, tokens
+from tablewash.llm import chat, decontaminate, near_dups, packing, quality, sharding, tokens
 from tablewash.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("host_rate", 9).alias("host_rate"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_passages(docs, read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "first_word")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -78,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op2_packing": op2_packing,
     "op3_chat_format": op3_chat_format,
     "op4_quality_rules": op4_quality_rules,
+    "op6_decontamination": op6_decontamination,
     "op7_sharding": op7_sharding,
     "op8_token_counts": op8_token_counts,
     "op9_ngram_join": op9_ngram_join,
