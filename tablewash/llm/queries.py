@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewash.llm import chat, decontaminate, near_dups, packing, quality, sharding, tokens
+from tablewash.llm import chat, decontaminate, near_dups, packing, quality, sharding, tokens, warc
 from tablewash.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write_warc(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    page = lambda c: F.expr(f"nullif(substring({c}, {len(warc.NAME) + 1}), '')").cast("long")
+    return warc.read_warc(spark, files).select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
@@ -81,6 +88,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_warc": op1_warc,
     "op2_packing": op2_packing,
     "op3_chat_format": op3_chat_format,
     "op4_quality_rules": op4_quality_rules,
