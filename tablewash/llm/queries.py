@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewash.llm import chat, decontaminate, near_dups, packing, quality, sharding, tokens, warc
+from tablewash.llm import chat, decontaminate, extract, near_dups, packing, quality, sharding, tokens, warc
 from tablewash.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,11 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(docs).select("doc_id", "class_id", "n_links", "n_copies")
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract.extract_text(pages, out="text").withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
@@ -96,5 +101,6 @@ QUERIES: dict[str, Query] = {
     "op7_sharding": op7_sharding,
     "op8_token_counts": op8_token_counts,
     "op9_ngram_join": op9_ngram_join,
+    "op10_main_text": op10_main_text,
 }
 ORACLES: dict[str, str] = {}
