@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewash.llm import chat, decontaminate, extract, near_dups, packing, quality, sharding, tokens, warc
+from tablewash.llm import chat, decontaminate, extract, near_dups, packing, quality, secrets, sharding, tokens, warc
 from tablewash.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("host_rate", 9).alias("host_rate"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs).select("doc_id", F.explode("findings").alias("f"))
+    return found.select("doc_id", F.col("f.start").cast("long").alias("start"), F.col("f.length").cast("long").alias("length"),
+                        F.round("f.score", 6).alias("score"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_passages(docs, read(spark, sf_dir, "benchmark"))
@@ -97,6 +104,7 @@ QUERIES: dict[str, Query] = {
     "op2_packing": op2_packing,
     "op3_chat_format": op3_chat_format,
     "op4_quality_rules": op4_quality_rules,
+    "op5_secret_scan": op5_secret_scan,
     "op6_decontamination": op6_decontamination,
     "op7_sharding": op7_sharding,
     "op8_token_counts": op8_token_counts,
