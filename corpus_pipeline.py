@@ -5,21 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewash.llm import quality
+from tablewash.llm import decontaminate, near_dups, packing, quality, secrets
 from tablewash.llm.common import materialize, read
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+from tablewash.llm.queries import tokenizer_file
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the verdicts on hosts keep."""
-    judged = quality.host_verdicts(quality.measure(docs))
-    return judged.where("kept").select(*docs.columns)
+    return quality.host_verdicts(quality.measure(docs)).where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of copies and near copies."""
+    return near_dups.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.without_passages(docs, read(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by a mark; n_chars follows where a text changed."""
+    found = secrets.find_secrets(docs, out="findings")
+    text = secrets.redact(F.col("text"), F.col("findings"))
+    changed = F.size("findings") > 0
+    return found.withColumns({
+        "text": text, "n_chars": F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")),
+    }).select(*docs.columns)
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 2048 tokens, with their token ids."""
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
 
 
-STAGES = [("quality_rules", quality_rules)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("packing", sequence_packing),
+]
 
-#: Packing and the similarity searches have no SQL form; tests compare them with brute force.
+#: The similarity searches, the forest and the packing have no SQL form; tests compare them with brute force.
 ORACLE_SQL = None
 
 

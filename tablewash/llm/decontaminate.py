@@ -264,25 +264,16 @@ def find_passages(
     kept = [c for c in docs.columns if c != text and c not in added]
     (whole,) = fresh(docs, "whole_text")
     ready = docs.select(*kept, F.lower(F.coalesce(F.col(text), F.lit(""))).alias(whole))
-    items = benchmark.select(F.col(item), F.lower(F.coalesce(F.col(item_text), F.lit(""))).alias("item_text"))
     schema = docs.select(*kept).withColumns({
         item: F.lit(None).cast(benchmark.schema[item].dataType), "similarity": F.lit(0.0), "first_word": F.lit(0).cast("long")}).schema
-    passes = max(1, -(-items.count() // (ITEMS_AT_ONCE // 2)))
-    spark = docs.sparkSession
     out = None
-    for k in range(passes):
-        here = items if passes == 1 else items.where(F.pmod(F.xxhash64(item, "item_text"), F.lit(passes)) == k)
-        rows = here.collect()
-        sent = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+    for sent in _sent(benchmark, item, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = None
             for batch in batches:
                 index = index or Index(*sent.value, radius=radius, words=words)
-                found = []
-                for first, data, offsets in text_parts(batch.column(batch.num_columns - 1)):
-                    hashes, starts = word_hashes(data, offsets)
-                    found += [(first + t, i, s, w) for t, i, s, w in search(index, hashes, starts, threshold)]
+                found = list(_found(batch, index, threshold))
                 if found:
                     row, i, similarity, word = zip(*found)
                     columns = [c.take(pa.array(row, pa.int64())) for c in batch.columns[:-1]]
@@ -293,3 +284,41 @@ def find_passages(
         found = ready.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def without_passages(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
+    threshold: float = THRESHOLD, radius: int = RADIUS, words: int = WORDS,
+) -> DataFrame:
+    """The rows of ``docs`` in which ``find_passages`` finds no item, with all their columns."""
+    (whole,) = fresh(docs, "whole_text")
+    out = docs
+    for sent in _sent(benchmark, item, item_text):
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = None
+            for batch in batches:
+                index = index or Index(*sent.value, radius=radius, words=words)
+                clean = np.ones(batch.num_rows, bool)
+                clean[[row for row, *_ in _found(batch, index, threshold)]] = False
+                yield batch.select(range(batch.num_columns - 1)).filter(pa.array(clean))
+
+        out = out.withColumn(whole, F.lower(F.coalesce(F.col(text), F.lit("")))).mapInArrow(run, docs.schema)
+    return out
+
+
+def _sent(benchmark: DataFrame, item: str, item_text: str) -> list:
+    """The items, broadcast in parts of about half of ``ITEMS_AT_ONCE``; one empty part if there are none."""
+    items = benchmark.select(F.col(item), F.lower(F.coalesce(F.col(item_text), F.lit(""))).alias("item_text"))
+    parts, out = max(1, -(-items.count() // (ITEMS_AT_ONCE // 2))), []
+    for k in range(parts):
+        rows = items.where(F.pmod(F.xxhash64(item, "item_text"), F.lit(parts)) == k).collect()
+        out.append(benchmark.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows])))
+    return out
+
+
+def _found(batch: pa.RecordBatch, index: Index, threshold: float) -> Iterator[tuple[int, int, float, int]]:
+    for first, data, offsets in text_parts(batch.column(batch.num_columns - 1)):
+        hashes, starts = word_hashes(data, offsets)
+        for text, i, similarity, word in search(index, hashes, starts, threshold):
+            yield first + text, i, similarity, word
