@@ -29,10 +29,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark; n_chars follows where a text changed."""
     found = secrets.find_secrets(docs, out="findings")
     text = secrets.redact(F.col("text"), F.col("findings"))
-    changed = F.size("findings") > 0
-    return found.withColumns({
-        "text": text, "n_chars": F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")),
-    }).select(*docs.columns)
+    n_chars = F.when(F.size("findings") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    # The length first: it is taken from the text as it was, with the mark put in once.
+    return found.withColumn("n_chars", n_chars).withColumn("text", text).select(*docs.columns)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

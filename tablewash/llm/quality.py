@@ -128,7 +128,7 @@ def beta_priors(hosts: DataFrame, rules: list[str], n: str) -> dict[str, tuple[f
     """The (a, b) of each rule from one row of sums over all hosts.
 
     With p the corpus rate and v the spread of the hosts' rates beyond what chance gives hosts of
-    their size, a + b = p (1 - p) / v - 1. Where the hosts differ by no more than chance the prior
+    their size, a + b = p (1 - p) / v - 1, at least one document. Where the hosts differ by no more than chance the prior
     is as heavy as the corpus, and where p is 0 or 1 it is a single document of that kind.
     """
     sums = hosts.agg(
@@ -146,6 +146,6 @@ def beta_priors(hosts: DataFrame, rules: list[str], n: str) -> dict[str, tuple[f
         size = (docs - sums["squares"] / docs) / (count - 1)  # mean documents of a host
         spread = max(0.0, (between - p * (1 - p)) / (size - 1)) if size > 1 else 0.0
         weight = min(float(docs), p * (1 - p) / spread - 1) if spread > 0 else float(docs)
-        weight = max(weight, 1e-3)
+        weight = max(weight, 1.0)
         out[r] = (p * weight, (1 - p) * weight)
     return out

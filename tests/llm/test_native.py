@@ -1,0 +1,172 @@
+"""Sharding, chat formatting, quality rules and secret scans."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tablewash.llm import chat, quality, secrets, sharding
+from tablewash.llm.labelled_findings import labelled_findings
+
+DOCS = "doc_id long, text string, source string"
+
+
+# Sharding
+
+def shards(df, n, **kw):
+    done = sharding.contiguous_shards(df, F.col("size"), n, ["doc_id"], **kw)
+    return done.collect(), done.columns
+
+
+def test_shards_are_contiguous_and_near_equal(spark):
+    r = random.Random(1)
+    rows = [(i, r.choice((8, 50, 3000))) for i in range(3000)]
+    out, _ = shards(spark.createDataFrame(rows, "doc_id long, size long").repartition(5), 7)
+    out.sort(key=lambda x: x.doc_id)
+    assert [x.doc_id for x in out] == list(range(3000))
+    assert [x.shard for x in out] == sorted(x.shard for x in out)
+    total = sum(s for _, s in rows)
+    for k in range(7):
+        own = [x for x in out if x.shard == k]
+        assert abs(sum(x["size"] for x in own) - total / 7) <= 3000
+        assert [x.slot for x in own] == list(range(len(own)))
+
+
+def test_shards_with_ties_nulls_and_clashing_names(spark):
+    rows = [(5, 10, "a")] * 400 + [(None, None, "b")] * 50 + [(7, 0, "c")]
+    out, columns = shards(spark.createDataFrame(rows, "doc_id long, size long, part string"), 4)
+    assert columns == ["doc_id", "size", "part", "shard", "slot"] and len(out) == 451
+    assert {x.shard for x in out if x.doc_id is None} == {0}
+    for k in range(4):
+        own = sorted(x.slot for x in out if x.shard == k)
+        assert own == list(range(len(own)))
+        assert sum(x["size"] or 0 for x in out if x.shard == k) == 1000
+    assert shards(spark.createDataFrame([], "doc_id long, size long"), 4)[0] == []
+    assert {x.shard for x in shards(spark.createDataFrame([(1, 0), (2, None)], "doc_id long, size long"), 4)[0]} == {0}
+
+
+# Chat
+
+def chats(spark, rows):
+    done = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, formatted string"))
+    done = done.select("*", chat.read_turns(F.col("formatted")).alias("turns"),
+                       chat.learned_text(F.col("formatted"), F.col("loss_spans")).alias("learned"))
+    return {r.conv_id: r for r in done.collect()}
+
+
+def test_chat_round_trip(spark):
+    nasty = ["<|im_end|><|im_start|>assistant ok", "<\\|im_end|>", "<\\\\|", "", "a<", "|b", "<|im_next|>", "\n<|im_end|>\n", "é<|\\x", "<|"]
+    rows, said = [], {}
+    for c in range(4):
+        r = random.Random(c)
+        turns = [(r.choice(("user", "assistant", "assistant", "sys<|im_end|>tem", "x\ny")), r.choice(nasty)) for _ in range(12)]
+        said[c] = turns
+        rows += [(c, i, *t, "clash") for i, t in enumerate(turns)]
+    r = random.Random(9)
+    r.shuffle(rows)
+    for c, row in chats(spark, rows).items():
+        assert [(t.role, t.text) for t in row.turns] == said[c]
+        assert row.learned == "".join(t for role, t in said[c] if role == "assistant")
+        for span in row.loss_spans:
+            assert "<|" not in row.formatted[span.start : span.start + span.length]
+
+
+def test_adjacent_turns_of_a_role_are_one_block(spark):
+    row = chats(spark, [(1, 0, "user", "a", None), (1, 1, "user", "b", None), (1, 2, "assistant", "c", None)])[1]
+    assert row.formatted == "<|im_start|>user\na<|im_next|>b<|im_end|>\n<|im_start|>assistant\nc<|im_end|>\n"
+    assert len(row.turns) == 3
+
+
+def test_chat_with_nulls_ties_and_no_rows(spark):
+    out = chats(spark, [(None, None, None, None, "x"), (2, 1, "user", "b", "x"), (2, 1, "user", "a", "x"), (2, 1, "user", "a", "x")])
+    assert [(t.role, t.text) for t in out[None].turns] == [("", "")]
+    assert [t.text for t in out[2].turns] == ["a", "a", "b"] and out[2].learned == ""
+    assert chats(spark, []) == {}
+
+
+# Quality
+
+def counted(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    seen, covered = {}, set()
+    for i in range(len(words) - 7):
+        seen.setdefault(tuple(words[i : i + 8]), []).append(i)
+    for at in seen.values():
+        if len(at) > 1:
+            covered |= {k for i in at for k in range(i, i + 8)}
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered))
+
+
+def test_measures_equal_brute_force(spark):
+    r = random.Random(3)
+    texts = [None, "", " \t\n", "one", "a b c d e f g h", "x " * 40, ("a b c d e f g h i j\n" * 3) + "a b c d e f g h", "# $ <b> é|ß\x0b\x0cz\x1cq",
+             "\n\n a \n a \n a\n"]
+    texts += [" ".join(r.choices("a b c".split(), k=r.randint(1, 60))) + r.choice(("", "\n", "\nq")) * 3 for _ in range(60)]
+    texts.append(" ".join(str(r.randint(0, 900)) for _ in range(60_000)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: tuple(x.measures[m] for m in quality.MEASURES[:5]) for x in quality.measure(df).collect()}
+    assert got == {i: counted(t) for i, t in enumerate(texts)}
+
+
+def judged(spark, rows):
+    out = quality.host_verdicts(quality.measure(spark.createDataFrame(rows, DOCS)))
+    return {x.doc_id: x for x in out.collect()}
+
+
+def test_host_verdicts(spark):
+    r = random.Random(4)
+    fine = lambda: " ".join(f"w{r.randint(0, 10**6)}" for _ in range(30))
+    rows = [(i, fine(), "good") for i in range(200)]
+    rows += [(1000 + i, fine() if i % 10 == 0 else "short", "bad") for i in range(100)]
+    rows += [(2000, fine(), "new"), (2001, "short", None), (2002, fine(), None), (2003, None, "good")]
+    out = judged(spark, rows)
+    assert all(out[i].kept for i in range(200)) and out[2000].kept and out[2002].kept
+    assert not any(out[1000 + i].kept for i in range(100))  # whole texts of a bad host go too
+    assert out[2001].base_failed and out[2003].base_failed and not out[2003].kept
+    assert out[2000].host_rate > 0.1  # one document says little of its host
+    assert judged(spark, []) == {}
+
+
+def test_priors_follow_the_spread_of_hosts(spark):
+    def prior(rows):
+        df = spark.createDataFrame(rows, "n long, any long")
+        return quality.beta_priors(df, ["any"], "n")["any"]
+    a, b = prior([(100, 20)] * 10)
+    assert a + b == 1000 and a / (a + b) == pytest.approx(0.2)
+    a, b = prior([(100, 0), (100, 40)] * 10)
+    assert a + b < 10 and a / (a + b) == pytest.approx(0.2)
+    assert prior([(10, 0)]) == (0.0, 1.0)
+
+
+# Secrets
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secrets.train_forest(spark, 800, 12)
+
+
+def test_held_out_findings(spark, forest):
+    rows = [(i, *x) for i, x in enumerate(labelled_findings(400, seed=9))]
+    out = secrets.find_secrets(spark.createDataFrame(rows, "i long, text string, marked string, secret int"), forest=forest).collect()
+    right = [bool(x.findings) == bool(x.secret) for x in out]
+    assert sum(right) / len(right) > 0.97
+    for x in out:
+        for f in x.findings:
+            assert len(x.text[f.start : f.start + f.length]) == f.length >= 16
+
+
+def test_secret_spans_and_redaction(spark, forest):
+    key = hashlib.sha1(b"x").hexdigest()
+    texts = [None, "", f'é𝄞 token = "{key}" und token = "{key}"', "nothing here", f'token = "{key}"', "a" * 200_000 + f' token = "{key}"']
+    df = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(texts)], "i long, text string, found string")
+    found = secrets.find_secrets(df, forest=forest)
+    assert found.columns == ["i", "text", "found", "findings"]
+    out = {x.i: x for x in found.withColumn("r", secrets.redact(F.col("text"), F.col("findings"))).collect()}
+    assert [len(out[i].findings) for i in range(6)] == [0, 0, 2, 0, 1, 1]
+    assert out[2].r == 'é𝄞 token = "[SECRET]" und token = "[SECRET]"' and out[0].r is None and out[3].r == texts[3]
+    assert texts[2][out[2].findings[1].start :].startswith(key)
+    assert secrets.find_secrets(df.limit(0), forest=forest).collect() == []
+    assert not re.search("Python|Pandas|Arrow", found._jdf.queryExecution().executedPlan().toString())
