@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewash.llm import chat, decontaminate, extract, near_dups, packing, quality, secrets, sharding, tokens, warc
+from tablewash.llm import chat, decontaminate, extract, near_dups, oracles, packing, quality, secrets, sharding, tokens, warc
 from tablewash.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,4 +111,4 @@ QUERIES: dict[str, Query] = {
     "op9_ngram_join": op9_ngram_join,
     "op10_main_text": op10_main_text,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_chat_format": oracles.CHAT, "op4_quality_rules": oracles.QUALITY}

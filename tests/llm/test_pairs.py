@@ -249,11 +249,12 @@ def test_query(spark, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
-def test_quality_query_equals_its_sql(spark):
+def test_queries_equal_their_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     from check_oracles import compare
 
-    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    for t in ("documents", "conversations"):
+        duckdb.sql(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     for name, sql in queries.ORACLES.items():
         df = queries.QUERIES[name](spark, FOLDER)
         result = duckdb.sql(sql)
