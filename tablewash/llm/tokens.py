@@ -17,7 +17,7 @@ from tablewash.llm.common import fresh, map_batches
 #: Texts of more characters are encoded in overlapping pieces.
 PIECE, OVERLAP = 65_536, 256
 #: Kept entries of a word cache; a full cache starts anew. It only saves time.
-CACHED = 1_000_000
+CACHED = 2_000_000
 
 
 @lru_cache(maxsize=4)
