@@ -26,9 +26,9 @@ from tablewash.errors import CleaningError, require_columns
 
 BUCKET, GROUP = "__bucket", "__group"
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 16_384
 SAMPLES_PER_BUCKET = 16
-KEY_TEXT = 256
+# Lengths at which a text boundary may be cut short.
+PREFIXES = (8, 32, 128, 512, 2048, 8192)
 
 
 @dataclass(frozen=True)
@@ -53,17 +53,32 @@ class Running:
 
 def bucket_count(rows: int, spark) -> int:
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(MAX_BUCKETS, max(parallel, math.ceil(rows / ROWS_PER_BUCKET))))
+    return max(1, parallel, math.ceil(rows / ROWS_PER_BUCKET))
 
 
 def _key(df: DataFrame, names: Sequence[str]) -> Column:
-    """The key rows are bucketed by. A long text stands there with its beginning, which ascends
-    with the text and keeps the boundaries small; the scan itself compares whole texts."""
-    parts = [
-        F.left(F.col(n), F.lit(KEY_TEXT)) if isinstance(df.schema[n].dataType, T.StringType) else F.col(n)
-        for n in names
-    ]
-    return parts[0] if len(parts) == 1 else F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
+    """The key rows are bucketed by: whole values, so that buckets ascend with the order."""
+    return F.col(names[0]) if len(names) == 1 else F.struct(*[F.col(n).alias(f"k{i}") for i, n in enumerate(names)])
+
+
+def _boundary(before: Column, key: Column, kind: T.DataType) -> Column:
+    """Something short that is above ``before`` and not above ``key``, two neighbouring keys: of the
+    first part in which they differ a prefix that tells them apart, and nothing of what follows."""
+    if isinstance(kind, T.StringType):
+        out = key
+        for n in reversed(PREFIXES):
+            out = F.when(F.left(before, F.lit(n)) != F.left(key, F.lit(n)), F.left(key, F.lit(n))).otherwise(out)
+        return F.when(before.isNull(), key).otherwise(out)
+    if not isinstance(kind, T.StructType):
+        return key
+    out, fields = key, kind.fields
+    for i in reversed(range(len(fields))):
+        parts = [key[f.name] for f in fields[:i]]
+        parts.append(_boundary(before[fields[i].name], key[fields[i].name], fields[i].dataType))
+        parts += [F.lit(None).cast(f.dataType) for f in fields[i + 1 :]]
+        short = F.struct(*[p.alias(f.name) for p, f in zip(parts, fields)])
+        out = F.when(~before[fields[i].name].eqNullSafe(key[fields[i].name]), short).otherwise(out)
+    return F.when(before.isNull(), key).otherwise(out)
 
 
 def _boundaries(
@@ -84,15 +99,15 @@ def _boundaries(
     sample = keys.where(F.pmod(F.xxhash64("k"), F.lit(every)) == 0).agg(
         F.array_sort(F.collect_set("k")).alias("s")
     )
-    cuts = (
-        f"filter(transform(sequence(1, {count - 1}), "
-        f"i -> get(s, cast(i * size(s) div {count} as int))), x -> x is not null)"
-    )
+    kind = keys.schema["k"].dataType
+    cuts = F.filter(F.transform(F.sequence(F.lit(1), F.lit(count - 1)), lambda i: _let(
+        F.floor(i * F.size("s") / F.lit(count)).cast("int"),
+        lambda at: _boundary(F.get("s", at - 1), F.get("s", at), kind))), lambda x: x.isNotNull())
     nested = (
         f"transform(sequence(0, greatest(0, (size(cuts) - 1) div {width})), "
         f"i -> slice(cuts, i * {width} + 1, {width}))"
     )
-    row = sample.selectExpr(f"{cuts} as cuts").selectExpr(f"to_json({nested}) as j").first()
+    row = sample.select(cuts.alias("cuts")).selectExpr(f"to_json({nested}) as j").first()
     return row["j"] or "[]", schema, width
 
 
@@ -128,7 +143,7 @@ def running(
 ) -> DataFrame:
     """Add the ``outputs`` to ``df``, scanning each group of ``partition_by`` in the order of
     ``order_by`` (ascending, nulls first). Together with ``partition_by`` the order columns must
-    identify a row. One shuffle of the rows, whatever the number of outputs.
+    identify a row; the job fails where two rows share a key. One shuffle of the rows, whatever the number of outputs.
 
     ``bucket`` may give a bucket expression of the caller's own; it must ascend with the key.
     """
@@ -144,7 +159,8 @@ def running(
     if group:
         rows = rows.withColumn(GROUP, F.struct(*group))
 
-    position = F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)
+    # A struct also for one column: it is never NULL, so a row with a NULL key has its place.
+    position = F.struct(*order_by)
     summary = rows.groupBy(*key).agg(*[_summary(o, position).alias(o.name) for o in outputs])
     carry = summary.select(
         *[F.col(k).alias(f"{k}_c") for k in key],
@@ -154,7 +170,13 @@ def running(
     # shuffled once. Whether the carried side is broadcast is left to its measured size.
     same = [F.col(k) == F.col(f"{k}_c") for k in key]
     joined = rows.join(carry, same, "left")
-    return joined.select(*df.columns, *[_scanned(o, key, order_by).alias(o.name) for o in outputs])
+    window = Window.partitionBy(*key).orderBy(*order_by)
+    # Equal keys are in one bucket, next to each other.
+    tie = F.lag(position).over(window).eqNullSafe(position)
+    told = F.raise_error(F.concat(F.lit("two rows share the order key "), F.to_json(position)))
+    scanned = [_scanned(o, key, order_by) for o in outputs]
+    scanned = [F.when(tie, told.cast(joined.select(s.alias("s")).schema["s"].dataType)).otherwise(s) for s in scanned[:1]] + scanned[1:]
+    return joined.select(*df.columns, *[s.alias(o.name) for s, o in zip(scanned, outputs)])
 
 
 def _summary(o: Running, position: Column) -> Column:
