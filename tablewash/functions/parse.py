@@ -11,22 +11,38 @@ from tablewash.functions.text import strip
 
 # Fixed value: what counts as a number. Spark's own cast would also take "12d" and "12f".
 NUMBER_PATTERN = r"^\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
+INTEGER_PATTERN = r"^\s*[+-]?[0-9]+\s*$"
 INFINITY_PATTERN = r"(?i)^\s*[+-]?inf(inity)?\s*$"
 
 # Date spellings as (shape, parse pattern), tried in this order. A cheap shape
 # test comes first so that no parser is entered for a cell it cannot read. Month-first wins
-# over day-first when both fit.
+# over day-first when both fit. Two digits of a year are of 2000 to 2099.
+_WORD = "[A-Za-z]{3,9}"
 DATE_SHAPES = (
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
-    (r"^[A-Za-z]{3} \d{1,2} \d{4}$", "MMM d yyyy"),
-    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
-    (r"^(1[789]|2[01])\d{2}$", "yyyy"),
+    (r"\d{4}-\d{1,2}-\d{1,2}", "yyyy-M-d"),
+    (r"\d{4}/\d{1,2}/\d{1,2}", "yyyy/M/d"),
+    (r"\d{4}\.\d{1,2}\.\d{1,2}", "yyyy.M.d"),
+    (r"(1[789]|2[01])\d{6}", "yyyyMMdd"),
+    (r"\d{1,2}-[A-Za-z]{3}-\d{4}", "d-MMM-yyyy"),
+    (r"\d{1,2} [A-Za-z]{3} \d{4}", "d MMM yyyy"),
+    (rf"\d{{1,2}} {_WORD} \d{{4}}", "d MMMM yyyy"),
+    (r"[A-Za-z]{3} \d{1,2} \d{4}", "MMM d yyyy"),
+    (r"[A-Za-z]{3} \d{1,2}, \d{4}", "MMM d, yyyy"),
+    (rf"{_WORD} \d{{1,2}} \d{{4}}", "MMMM d yyyy"),
+    (rf"{_WORD} \d{{1,2}}, \d{{4}}", "MMMM d, yyyy"),
+    (r"\d{1,2}/\d{1,2}/\d{4}", "M/d/yyyy"),
+    (r"\d{1,2}/\d{1,2}/\d{4}", "d/M/yyyy"),
+    (r"\d{1,2}-\d{1,2}-\d{4}", "M-d-yyyy"),
+    (r"\d{1,2}-\d{1,2}-\d{4}", "d-M-yyyy"),
+    (r"\d{1,2}\.\d{1,2}\.\d{4}", "M.d.yyyy"),
+    (r"\d{1,2}\.\d{1,2}\.\d{4}", "d.M.yyyy"),
+    (r"\d{1,2}/\d{1,2}/\d{2}", "M/d/yy"),
+    (r"\d{1,2}/\d{1,2}/\d{2}", "d/M/yy"),
+    (r"(1[789]|2[01])\d{2}", "yyyy"),
 )
-ISO_MOMENT = r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}(:\d{2}([.]\d+)?)?$"
+#: A time of day behind a date, and a zone behind that; a moment with a zone is turned to UTC.
+TIME_OF_DAY = r"[ T](\d{1,2}:\d{2}(?::\d{2}(?:[.]\d{1,6})?)?)"
+ZONE = r" ?(Z|[+-]\d{2}:?\d{2})"
 
 
 def missing_nan(c: Column, dtype: T.DataType) -> Column:
@@ -60,8 +76,13 @@ def to_int(c: Column, dtype: T.DataType, on_fraction: str = "error") -> Column:
     if isinstance(dtype, T.IntegralType):
         return c.cast("bigint")
     number = to_float(c, dtype)
-    whole = number.try_cast("bigint")
-    exact = F.when(number == F.floor(number).cast("double"), whole)
+    exact = F.when(number == F.floor(number).cast("double"), number.try_cast("bigint"))
+    if isinstance(dtype, T.StringType):
+        # Digits are read as they stand: a double would round them beyond 2 ** 53.
+        digits = F.when(c.rlike(INTEGER_PATTERN), F.btrim(c, F.lit(" \t\n\x0b\x0c\r")))
+        exact = F.when(digits.isNotNull(), digits.try_cast("bigint")).otherwise(exact)
+    elif isinstance(dtype, T.DecimalType):
+        exact = F.when(c == F.floor(c), c.try_cast("bigint"))
     if on_fraction == "null":
         return exact
     problem = F.concat(F.lit("not a whole number: "), number.cast("string"))
@@ -79,9 +100,12 @@ def to_timestamp_mixed(c: Column, dtype: T.DataType) -> Column:
     if not isinstance(dtype, T.StringType):
         return F.lit(None).cast("timestamp")
     cell = strip(c)
-    tries = [F.when(cell.rlike(ISO_MOMENT), cell.try_cast("timestamp"))]
-    tries += [
-        F.when(cell.rlike(shape), F.try_to_timestamp(cell, F.lit(pattern)))
-        for shape, pattern in DATE_SHAPES
-    ]
-    return F.coalesce(*tries)
+    behind = rf"(?:{TIME_OF_DAY}(?:{ZONE})?)?$"
+    # Date, time and zone are read apart: any date spelling may have any time behind it.
+    day = F.regexp_replace(cell, rf"{TIME_OF_DAY}(?:{ZONE})?$", "")
+    clock = F.regexp_extract(cell, TIME_OF_DAY + rf"(?:{ZONE})?$", 1)
+    zone = F.regexp_extract(cell, TIME_OF_DAY + rf"(?:{ZONE})?$", 2)
+    date = F.coalesce(*[
+        F.when(day.rlike(f"^{shape}$"), F.try_to_timestamp(day, F.lit(pattern))) for shape, pattern in DATE_SHAPES])
+    timed = F.concat(F.date_format(date, "yyyy-MM-dd"), F.lit(" "), clock, F.regexp_replace(zone, r"(\d{2})(\d{2})$", "$1:$2"))
+    return F.when(cell.rlike(rf"\d{behind}"), F.when(clock == "", date).otherwise(timed.try_cast("timestamp")))

@@ -60,12 +60,15 @@ class TableSet(Mapping[str, DataFrame]):
         return replace(self, tables={**self.tables, name: df})
 
 
-def read_table(spark: SparkSession, path: str, schema: str | None = None, infer: bool = False) -> DataFrame:
+def read_table(
+    spark: SparkSession, path: str, schema: str | None = None, infer: bool = False, one_line: bool = False
+) -> DataFrame:
     """A CSV file or folder with a header line. All cells are read as text and the usual "not
     available" tokens become NULL; ``infer`` then gives columns of nothing but numbers or
     booleans their type, from one pass over the whole table. With a ``schema`` (DDL) the columns
-    are parsed to its types instead, and cells that do not fit become NULL."""
-    reader = spark.read.option("header", True).option("multiLine", False).option("quote", '"').option("escape", '"')
+    are parsed to its types instead, and cells that do not fit become NULL. Quoted cells may hold
+    line breaks; where no record does, ``one_line`` lets a large file be read by many tasks."""
+    reader = spark.read.option("header", True).option("multiLine", not one_line).option("quote", '"').option("escape", '"')
     raw = reader.csv(path)
     df = raw.select(*[null_tokens(F.col(c)).alias(c) for c in raw.columns])
     if schema is not None:
@@ -76,15 +79,17 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None, infer:
 
 
 def infer_types(df: DataFrame) -> DataFrame:
-    """bigint, double or boolean for text columns whose every cell reads as one."""
+    """bigint, decimal(38,0), double or boolean for text columns whose every cell reads as one;
+    integers beyond 38 digits stay text rather than lose digits."""
     names = string_columns(df)
     parts = []
     for i, c in enumerate(names):
         number = to_float(F.col(c), T.StringType())
-        whole = F.col(c).rlike(r"^\s*[+-]?[0-9]{1,18}\s*$")
+        whole = F.when(F.col(c).rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(F.col(c)))
         parts += [
             F.count(F.col(c)).alias(f"n{i}"), F.count(number).alias(f"d{i}"),
-            F.count(F.when(whole, 1)).alias(f"i{i}"),
+            F.count(whole).alias(f"t{i}"), F.count(whole.try_cast("bigint")).alias(f"i{i}"),
+            F.count(whole.try_cast("decimal(38,0)")).alias(f"w{i}"),
             F.count(F.when(F.col(c).isin("True", "TRUE", "true", "False", "FALSE", "false"), 1)).alias(f"b{i}"),
         ]
     if not parts:
@@ -97,6 +102,10 @@ def infer_types(df: DataFrame) -> DataFrame:
             continue
         if row[f"i{i}"] == n:
             new[c] = F.trim(F.col(c)).cast("bigint")
+        elif row[f"w{i}"] == n:
+            new[c] = F.trim(F.col(c)).cast("decimal(38,0)")
+        elif row[f"t{i}"] == n:
+            continue
         elif row[f"d{i}"] == n:
             new[c] = to_float(F.col(c), T.StringType())
         elif row[f"b{i}"] == n:
@@ -120,9 +129,9 @@ def append_rows(df: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def preview(df: DataFrame, order_by: Sequence[str], n: int = 5) -> DataFrame:
-    """The first ``n`` rows (1 to 20) in the given order."""
+    """The first ``n`` rows in the given order."""
     require_columns(df, *order_by)
-    return df.orderBy(*order_by).limit(min(max(1, n), 20))
+    return df.orderBy(*order_by).limit(max(1, n))
 
 
 def preview_text(df: DataFrame, order_by: Sequence[str], n: int = 5) -> DataFrame:
