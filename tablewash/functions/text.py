@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The characters that count as white space at the ends of a cell.
 WHITESPACE = (
@@ -36,6 +37,18 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+def cell_text(c: Column, dtype: T.DataType) -> Column:
+    """The text of a cell, the same wherever cells are shown or compared: True and False, and
+    floating numbers in plain digits up to 1e16."""
+    if isinstance(dtype, T.BooleanType):
+        return F.when(c, "True").when(~c, "False")
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        written, size = c.cast("string"), F.abs(c)
+        plain = F.regexp_replace(F.regexp_replace(written.try_cast("decimal(38,18)").cast("string"), "0+$", ""), r"[.]$", ".0")
+        return F.when(F.contains(written, F.lit("E")) & (size < 1e16) & (size >= 1e-4), plain).otherwise(written)
+    return c.cast("string")
+
+
 def null_tokens(c: Column, tokens: tuple[str, ...] = NULL_TOKENS) -> Column:
     return F.when(~c.isin(*tokens), c)
 

@@ -91,8 +91,10 @@ def to_timestamp_mixed(df: DataFrame, column: str) -> DataFrame:
 
 
 def to_string(df: DataFrame, column: str) -> DataFrame:
-    """Cells as text; a missing cell stays missing."""
-    return df.withColumn(column, _as_text(df, column))
+    """Cells as text (see ``cell_text``); a missing cell stays missing."""
+    require_columns(df, column)
+    dtype = df.schema[column].dataType
+    return df.withColumn(column, text.cell_text(parse.missing_nan(F.col(column), dtype), dtype))
 
 
 def convert_type(df: DataFrame, column: str, target: str) -> DataFrame:

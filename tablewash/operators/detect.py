@@ -1,7 +1,7 @@
 """Finding out what is wrong with an unknown table.
 
-The rules look at the first non-null cells of a column in the given order (top-n per column, a
-bounded heap per task), or at all cells with ``sample=None``.
+The rules look at all non-null cells of a column, in one scan for all columns; a caller may name a
+``sample`` of first cells in the given order instead.
 """
 
 from __future__ import annotations
@@ -23,9 +23,6 @@ from tablewash.operators.rows import kept
 # Parts of a column name that mark an identifier.
 IDENTIFIER_WORDS = ("name", "_id", "identifier", "email", "code")
 
-TYPE_SAMPLE = 20
-PREFIX_SAMPLE = 30
-
 
 def _cells(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], sample: int | None) -> DataFrame:
     """(column, cell) as text, the first ``sample`` non-null cells of each column or all."""
@@ -46,7 +43,7 @@ def _cells(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], sampl
 
 
 def cell_signs(
-    df: DataFrame, order_by: Sequence[str], columns: Sequence[str] | None = None, sample: int | None = TYPE_SAMPLE
+    df: DataFrame, order_by: Sequence[str], columns: Sequence[str] | None = None, sample: int | None = None
 ) -> DataFrame:
     """Per text column: how many of the cells looked at are dates, numbers or padded, whether any
     is a boolean word, and how many different cells there are apart from case."""
@@ -63,7 +60,7 @@ def cell_signs(
     )
 
 
-def detect_dates(df: DataFrame, order_by: Sequence[str], sample: int | None = TYPE_SAMPLE, share: float = 0.5) -> DataFrame:
+def detect_dates(df: DataFrame, order_by: Sequence[str], sample: int | None = None, share: float = 0.5) -> DataFrame:
     """Per text column, whether more than ``share`` of its cells read as dates."""
     signs = cell_signs(df, order_by, sample=sample)
     return signs.select("column", (F.col("dates") > F.col("cells") * share).alias("is_date"))
@@ -81,8 +78,8 @@ def detect_identifiers(df: DataFrame, columns: Sequence[str] | None = None, exac
         "column", (named | F.coalesce(F.col("ratio") > 0.8, F.lit(False))).alias("is_identifier"))
 
 
-def detect_sequential(df: DataFrame, order_by: Sequence[str], sample: int | None = PREFIX_SAMPLE) -> DataFrame:
-    """Per text column with at least three cells, whether one prefix before a number covers half
+def detect_sequential(df: DataFrame, order_by: Sequence[str], sample: int | None = None, least: int = 3) -> DataFrame:
+    """Per text column with at least ``least`` cells, whether one prefix before a number covers half
     of the cells looked at."""
     digits = id_digits(F.col("cell"))
     by_prefix = (
@@ -91,7 +88,7 @@ def detect_sequential(df: DataFrame, order_by: Sequence[str], sample: int | None
     )
     best = by_prefix.groupBy("column").agg(
         F.sum("n").alias("cells"), F.max(F.when(F.col("prefix").isNotNull(), F.col("n"))).alias("top"))
-    good = (F.col("cells") >= 3) & (F.col("top") >= F.col("cells") * 0.5)
+    good = (F.col("cells") >= least) & (F.col("top") >= F.col("cells") * 0.5)
     return best.select("column", F.coalesce(good, F.lit(False)).alias("is_sequential"))
 
 
@@ -121,12 +118,12 @@ def _issues(signs: DataFrame) -> DataFrame:
     return signs.select("column", F.inline(found))
 
 
-def text_issues(df: DataFrame, order_by: Sequence[str], sample: int | None = TYPE_SAMPLE) -> DataFrame:
+def text_issues(df: DataFrame, order_by: Sequence[str], sample: int | None = None) -> DataFrame:
     return _issues(cell_signs(df, order_by, sample=sample))
 
 
 def analyze_table(
-    df: DataFrame, order_by: Sequence[str], sample: int | None = TYPE_SAMPLE, exact: bool = True
+    df: DataFrame, order_by: Sequence[str], sample: int | None = None, exact: bool = True
 ) -> DataFrame:
     """Every issue found, one row each: (column, issue, count, summary). ``column`` is NULL for
     issues of whole rows."""
@@ -208,7 +205,7 @@ def _describe_text(sign, distinct: int, level: str, known_date: bool) -> list[st
         parts.append("Leading or trailing whitespace: strip it")
     if sign["booleans"] and sign["variants"] <= 10:
         parts.append("Mixed spellings of yes and no: map to boolean" if fixes_types else kind)
-    elif sign["numbers"] > TYPE_SAMPLE / 2:
+    elif sign["numbers"] > sign["cells"] / 2:
         parts.append("Numeric stored as text: convert to float" if fixes_types else kind)
     else:
         parts.append(kind)

@@ -57,7 +57,7 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """One row: how many rows repeat an earlier one. Copies collapse before the shuffle."""
-    copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n"))
+    copies = df.groupBy(*[_cell(df, c).alias(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("n"))
     return copies.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("duplicates"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewash.functions.parse import missing_nan, to_float
+from tablewash.functions.text import cell_text
 from tablewash.functions.typing import column_types, compatible
 from tablewash.operators.ordered import Running, bucket_count, range_bucket, running
 from tablewash.operators.profile import duplicate_count
@@ -71,7 +72,7 @@ def _values(df: DataFrame, columns: list[str], numeric: set[str], side: str) ->
             x = to_float(F.col(c), kind)
             entries.append(F.struct(col, x.alias("x"), F.lit(None).cast("string").alias("s")))
         else:
-            s = F.coalesce(missing_nan(F.col(c), kind).cast("string"), F.lit(MISSING_TEXT))
+            s = F.coalesce(cell_text(missing_nan(F.col(c), kind), kind), F.lit(MISSING_TEXT))
             entries.append(F.struct(col, F.lit(None).cast("double").alias("x"), s.alias("s")))
     mine, other = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     a, b = (mine, other) if side == "a" else (other, mine)

@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewash.errors import require_columns
-from tablewash.functions.parse import to_float
+from tablewash.functions.parse import missing_nan, to_float
 from tablewash.functions.typing import numeric_columns
 from tablewash.operators.fits import Bounds, fit_bounds
 
 
 def drop_duplicates(df: DataFrame, row_id: str | None = None) -> DataFrame:
-    """Whole-row deduplication, missing equal to missing. With a surrogate ``row_id`` rows are
+    """Whole-row deduplication, missing equal to missing
+    (NaN comes out as NULL). With a surrogate ``row_id`` rows are
     compared without it and the smallest one is kept. Copies collapse before the shuffle, so a
     row repeated any number of times costs one row per task."""
+    df = df.select(*[missing_nan(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
     if row_id is None:
         return df.distinct()
     require_columns(df, row_id)

@@ -3,20 +3,14 @@ initial_budget, quality), any number of runs of any length. (run_id, step) ident
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewash.errors import require_columns
 from tablewash.operators.ordered import Running, running
 from tablewash.operators.quality import clamp
 
-# Costs per action, reward scale and penalties, weights of the final score.
-ACTION_COSTS = {
-    "fill_null": 1, "drop_duplicates": 1, "convert_type": 2, "normalize": 2, "remove_outliers": 3,
-    "strip_whitespace": 1, "map_values": 2, "replace_substring": 1, "standardize_format": 2,
-    "lookup_fill": 2, "validate_foreign_key": 2,
-}
-DEFAULT_COST = 1
+# Reward scale and penalties, weights of the final score.
 REWARD_SCALE = 10.0
 INVALID_PENALTY, DROP_PENALTY, REDUNDANT_PENALTY = 0.5, 0.3, 0.1
 DROP_TOLERANCE = 0.001
@@ -26,11 +20,6 @@ DEDUP = "drop_duplicates"
 LOG_COLUMNS = ("run_id", "step", "action_type", "column", "valid", "cost", "initial_budget", "quality")
 
 
-def action_cost(action: Column) -> Column:
-    costs = F.create_map(*[F.lit(v) for pair in ACTION_COSTS.items() for v in pair])
-    return F.coalesce(costs[action], F.lit(DEFAULT_COST))
-
-
 def score_steps(log: DataFrame, buckets: int | None = None) -> DataFrame:
     """Per step: ``best_before`` (best quality so far, from 0), ``gain`` over it, ``used`` budget
     up to here, ``redundant``, ``penalty`` and ``reward``. Long runs are cut into buckets of steps

@@ -11,7 +11,7 @@ from tablewash.errors import CleaningError
 from tablewash.functions.text import BOOLEAN_MAP
 from tablewash.functions.typing import logical_type, string_columns
 from tablewash.operators import cells
-from tablewash.operators.detect import TYPE_SAMPLE, cell_signs, detect_dates, detect_identifiers, detect_sequential
+from tablewash.operators.detect import cell_signs, detect_dates, detect_identifiers, detect_sequential
 from tablewash.operators.fills import fill_rows, fill_value
 from tablewash.operators.fits import fit_median
 from tablewash.operators.profile import null_counts
@@ -21,7 +21,7 @@ from tablewash.session import materialize
 LEVELS = ("easy", "medium", "hard")
 
 
-def date_columns(df: DataFrame, order_by: Sequence[str], sample: int | None = TYPE_SAMPLE) -> list[str]:
+def date_columns(df: DataFrame, order_by: Sequence[str], sample: int | None = None) -> list[str]:
     if not string_columns(df):
         return []
     return [r["column"] for r in detect_dates(df, order_by, sample).where("is_date").collect()]
@@ -29,10 +29,12 @@ def date_columns(df: DataFrame, order_by: Sequence[str], sample: int | None = TY
 
 def auto_clean(
     df: DataFrame, order_by: Sequence[str], level: str = "hard", dates: Sequence[str] | None = None,
-    row_id: str | None = None, sample: int | None = TYPE_SAMPLE, truth: DataFrame | None = None,
+    row_id: str | None = None, sample: int | None = None, truth: DataFrame | None = None,
 ) -> DataFrame:
     """easy: duplicates, missing cells, dates. medium: also stray whitespace, booleans, numbers
-    and dates stored as text. hard: also outliers. A ``truth`` given by the caller wins.
+    and dates stored as text. hard: also outliers. A ``truth`` given by the caller wins. Decisions
+    are taken from whole columns unless a ``sample`` is named. A text column becomes numbers or dates
+    if more than 70% of its cells are; ``retype_losses`` tells beforehand what the others are.
 
     The deduplicated table is written once to the shared folder, because several fits and the
     final plan all start from it.
@@ -57,6 +59,17 @@ def auto_clean(
     return remove_outliers_all(materialize(out), numbers)
 
 
+def retype_losses(df: DataFrame, order_by: Sequence[str], share: float = 0.7) -> DataFrame:
+    """What level medium would leave empty: per text column that it would turn into numbers or dates,
+    the cells that do not read as one. (column, target, lost)"""
+    numbers, dates = (F.col(c) > F.col("cells") * share for c in ("numbers", "dates"))
+    boolean = (F.col("booleans") > 0) & (F.col("variants") <= 10)
+    target = F.when(boolean, None).when(numbers, "float").when(dates, "datetime")
+    kept = F.when(numbers, F.col("numbers")).otherwise(F.col("dates"))
+    return cell_signs(df, order_by).select("column", target.alias("target"), (F.col("cells") - kept).alias("lost")).where(
+        "target IS NOT NULL AND lost > 0")
+
+
 def _fill(df: DataFrame, order_by: Sequence[str], dates: Sequence[str], row_id: str | None) -> DataFrame:
     kinds = {f.name: logical_type(f.dataType) for f in df.schema.fields}
     missing = [r["column"] for r in null_counts(df).where(F.col("nulls") > 0).collect() if r["column"] != row_id]

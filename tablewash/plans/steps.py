@@ -137,10 +137,11 @@ def run_steps(
     order_by: Sequence[str] = (), row_id: str | None = None,
 ) -> DataFrame | TableSet:
     """Apply steps in order. On a table set each step goes to its ``table`` (the primary one by
-    default), with the row order the set names for it."""
+    default), with the row order the set names for it. Without one, ``order_by`` and ``row_id``
+    hold for every table that has those columns."""
     todo = as_steps(steps)
     if isinstance(target, TableSet):
-        return _run_on_set(target, todo)
+        return _run_on_set(target, todo, order_by, row_id)
     shuffled = False
     while todo:
         group = _fill_group(todo)
@@ -161,7 +162,7 @@ def _fits(step: Step) -> bool:
     return step.action_type in FITTED_STEPS or (step.action_type == "fill_null" and step.method != "constant")
 
 
-def _run_on_set(tables: TableSet, steps: list[Step]) -> TableSet:
+def _run_on_set(tables: TableSet, steps: list[Step], order_by: Sequence[str], row_id: str | None) -> TableSet:
     while steps:
         step = steps[0]
         name = step.table or tables.primary
@@ -175,7 +176,9 @@ def _run_on_set(tables: TableSet, steps: list[Step]) -> TableSet:
                 if other.action_type in LINK_STEPS or (other.table or tables.primary) != name:
                     break
                 run.append(other)
-            done = run_steps(tables[name], run, tables.order_by.get(name, ()))
+            columns = tables[name].columns
+            order = tables.order_by.get(name) or (order_by if set(order_by) <= set(columns) else ())
+            done = run_steps(tables[name], run, order, row_id if row_id in columns else None)
             tables, taken = tables.with_table(name, done), len(run)
         steps = steps[taken:]
     return tables

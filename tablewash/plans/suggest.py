@@ -24,7 +24,7 @@ HANDS_OFF = ("no cleaning", "no action")
 NO_CONVERSION = (*HANDS_OFF, "no conversion", "no type conversion")
 IDENTIFIER = ("identifier", " id", "id ")
 MIXED_FORMAT = ("mixed", "expected pattern", "standardize")
-CURRENCY = ("currency", "usd", "'$'", '"$"')
+CURRENCY = ("'$'", '"$"', "currency", "usd")
 NUMBER = ("numeric", "float", "price", "amount", "usd", "$")
 SEQUENCE = ("sequential", "sequence")
 NAMED = ("identifier", "name", "id")
@@ -32,7 +32,7 @@ FORWARD = ("forward fill", "forward-fill", "ffill")
 AVERAGE = ("mean", "average")
 MOST_FREQUENT = ("mode", "category", "categorical")
 YEAR_TYPO = ("2033", "2023")
-PREVIEW_ROWS = 5
+QUOTED_CONSTANT = r"constant\s+['\"]([^'\"]+)['\"]"
 
 
 def _any(text: str, words: Sequence[str]) -> bool:
@@ -41,7 +41,7 @@ def _any(text: str, words: Sequence[str]) -> bool:
 
 def fill_choice(hint: str, kind: str, looks_sequential: bool) -> tuple[str, str | None]:
     """The fill method for a column, and the constant if it is one."""
-    quoted = re.search(r"constant\s+['\"]([^'\"]+)['\"]", hint, re.IGNORECASE)
+    quoted = re.search(QUOTED_CONSTANT, hint, re.IGNORECASE)
     hint = hint.lower()
     identifier = kind == "string" and _any(hint, NAMED) and not _any(hint, HANDS_OFF)
     dated = kind in ("string", "datetime") and "date" in hint and _any(hint, ("missing", "null"))
@@ -121,7 +121,7 @@ def clean_by_hints(
     _, _, nulls = overview(out)
     sequential: list[str] = []
     if string_columns(out) and any(nulls.values()):
-        sequential = [r["column"] for r in detect_sequential(out, order_by, PREVIEW_ROWS).where("is_sequential").collect()]
+        sequential = [r["column"] for r in detect_sequential(out, order_by, least=2).where("is_sequential").collect()]
     second = filling_steps(kinds, nulls, hints, sequential)
     if second:
         out = materialize(run_steps(out, second, order_by, row_id))

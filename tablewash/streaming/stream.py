@@ -28,7 +28,8 @@ CELL_STEPS = ("strip_whitespace", "map_values", "replace_substring", "convert_ty
 def apply_cell_steps(stream: DataFrame, steps: Sequence[Step | Mapping[str, Any]]) -> DataFrame:
     """Cell-level steps and constant fills on a stream."""
     for step in as_steps(steps):
-        if step.action_type not in CELL_STEPS and step.method != "constant":
+        constant = step.action_type == "fill_null" and step.method == "constant"
+        if step.action_type not in CELL_STEPS and not constant:
             raise CleaningError(f"'{step.action_type}' looks at the whole table: fit it on a batch, or use foreachBatch")
         stream = apply_step(stream, step)
     return stream
@@ -60,7 +61,11 @@ def keep_known(stream: DataFrame, fk: str, lookup: DataFrame, key: str) -> DataF
     """Drop stream rows whose foreign key has no parent in a static table; rows without one stay."""
     require_columns(stream, fk)
     keys = lookup.where(F.col(key).isNotNull()).select(F.col(key).alias("__key")).distinct().withColumn("__hit", F.lit(True))
-    rows = stream.join(keys, F.col(fk) == F.col("__key"), "left")
+    # Rows without a key need no partner: a spread key keeps them from meeting in one partition.
+    spread = F.when(F.col(fk).isNull(), F.xxhash64(*stream.columns))
+    keys = keys.withColumn("__spread", F.lit(None).cast("bigint"))
+    rows = stream.withColumn("__alone", spread).join(
+        keys, (F.col(fk) == F.col("__key")) & F.col("__alone").eqNullSafe(F.col("__spread")), "left")
     return rows.where(F.col(fk).isNull() | F.col("__hit")).select(*stream.columns)
 
 

@@ -6,7 +6,7 @@ import importlib
 
 from tablewash.workloads.registry import ORACLES, QUERIES, Query
 
-_MODULES = ("steps_queries", "profile_queries", "score_queries", "recipe_queries")
+_MODULES = ("steps_queries", "profile_queries", "score_queries", "recipe_queries", "edge_queries")
 
 
 def _load() -> None:

@@ -138,11 +138,11 @@ _FIRST = """
   SELECT '{c}' AS "column", {c} AS cell, row_number() OVER (ORDER BY k) AS r FROM orders_messy WHERE {c} IS NOT NULL""") + ")"
 _SIGNS = _FIRST + f""",
 signs AS (SELECT "column", count(*) AS cells,
-  count(try_strptime(trim(cell, {SPACES}), {DATES})) AS dates,
+  count(CASE WHEN regexp_full_match(cell, '(1[789]|2[01])\\d\\d') THEN 1 END) + count(try_strptime(trim(cell, {SPACES}), {DATES})) AS dates,
   count(CASE WHEN {IS_NUMBER.format(c='cell')} THEN 1 END) AS numbers,
   count(CASE WHEN cell <> trim(cell, {SPACES}) THEN 1 END) AS padded,
   count(CASE WHEN lower(cell) IN ('yes', 'no', 'true', 'false', '1', '0') THEN 1 END) AS booleans,
-  count(DISTINCT lower(cell)) AS variants FROM cells WHERE r <= 20 GROUP BY "column")
+  count(DISTINCT lower(cell)) AS variants FROM cells GROUP BY "column")
 """
 
 
@@ -156,9 +156,7 @@ def detect_cell_signs(spark, folder):
     return detect.cell_signs(view(spark, folder, "orders_messy"), ["k"])
 
 
-@query("detect_cell_signs_full", oracle("orders_messy", _SIGNS.replace("WHERE r <= 20 ", "").replace(
-    "count(try_strptime", r"count(CASE WHEN regexp_full_match(cell, '(1[789]|2[01])\d\d') THEN 1 END) + count(try_strptime")
-    + "SELECT * FROM signs"))
+@query("detect_cell_signs_full", oracle("orders_messy", _SIGNS + "SELECT * FROM signs"))
 def detect_cell_signs_full(spark, folder):
     return detect.cell_signs(view(spark, folder, "orders_messy"), ["k"], sample=None)
 
@@ -171,7 +169,7 @@ def detect_identifiers(spark, folder):
 
 
 @query("detect_sequential", oracle("orders_messy", _FIRST + r""",
-parts AS (SELECT *, regexp_extract(cell, '([0-9]+)$', 1) AS digits FROM cells WHERE r <= 30),
+parts AS (SELECT *, regexp_extract(cell, '([0-9]+)$', 1) AS digits FROM cells),
 groups AS (SELECT "column", CASE WHEN digits <> '' THEN left(cell, length(cell) - length(digits)) END AS prefix, count(*) AS n
            FROM parts GROUP BY 1, 2)
 SELECT "column", coalesce(sum(n) >= 3 AND max(CASE WHEN prefix IS NOT NULL THEN n END) >= sum(n) * 0.5, false) AS is_sequential

@@ -55,8 +55,12 @@ def text_match_sql(c: str, cur: str = "cur", ref: str = "ref", size: str = "size
       WHERE r <= (SELECT lo FROM {size}) AND a = b) AS matches"""
 
 
+# A boolean's text is True or False.
+_WRITTEN = "CASE WHEN typeof({c}) = 'BOOLEAN' THEN CASE CAST({c} AS VARCHAR) WHEN 'true' THEN 'True' WHEN 'false' THEN 'False' END ELSE CAST({c} AS VARCHAR) END"
+
+
 _MATCHES = ",\nmatches AS (" + "\nUNION ALL ".join(
-    [number_match_sql(c) for c in _NUMERIC] + [text_match_sql(c) for c in _TEXT]) + ")\n"
+    [number_match_sql(c) for c in _NUMERIC] + [text_match_sql(c, cast=_WRITTEN) for c in _TEXT]) + ")\n"
 _COLUMNS = (*_NUMERIC, *_TEXT)
 _NULL_SHARE = "(SELECT (" + " + ".join(f"count(*) - count({c})" for c in _COLUMNS) + f") / (count(*) * {len(_COLUMNS)}) FROM cur)"
 _COPY_SHARE = "(SELECT (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM cur))) / count(*) FROM cur)"

@@ -78,7 +78,7 @@ def topk_preview(spark, folder):
 
 @query("topk_preview_text", oracle("orders_messy", """
 SELECT CAST(k AS VARCHAR) AS k, coalesce(CAST(price AS VARCHAR), 'NULL') AS price, coalesce(status, 'NULL') AS status
-FROM orders_messy ORDER BY orders_messy.k LIMIT 20"""))
+FROM orders_messy ORDER BY orders_messy.k LIMIT 50"""))
 def topk_preview_text(spark, folder):
     return preview_text(_orders(spark, folder, "price", "status"), ["k"], 50)
 

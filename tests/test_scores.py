@@ -115,9 +115,3 @@ def test_final_score(spark):
     assert done.first()["score"] == pytest.approx(0.4 * 0.9999 + 0.2 * 0.9999 + 0.15 * 0.9 + 0.1 * 0.9999 + 0.15 * 0.9999, abs=1e-6)
     assert runlog.leaderboard(done).first()["budget"] == "1/10"
     assert runlog.average_score(done).first()["runs"] == 1
-
-
-def test_costs(spark):
-    from pyspark.sql import functions as F
-    df = spark.createDataFrame([("remove_outliers",), ("other",)], "a string")
-    assert [r[0] for r in df.select(runlog.action_cost(F.col("a"))).collect()] == [3, 1]
