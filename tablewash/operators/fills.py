@@ -136,22 +136,25 @@ def fill_backward(df: DataFrame, column: str, order_by: Sequence[str], **kw: Any
 def _sequence(df: DataFrame, column: str, order_by: Sequence[str]) -> IdPattern | None:
     """The pattern to continue, if one prefix stands on at least half of the cells."""
     fit = fit_id_pattern(df, column, order_by)
-    usable = fit is not None and fit.cells >= 2 and fit.matches >= fit.cells * 0.5 and fit.high is not None
-    return fit if usable else None
+    if fit is None or fit.cells < 2 or fit.matches < fit.cells * 0.5:
+        return None
+    if fit.high is None:
+        raise CleaningError(f"the numbers of '{column}' are too long to go on from")
+    return fit
 
 
 def _gaps(df: DataFrame, column: str, fit: IdPattern, buckets: int | None) -> DataFrame:
     """The numbers to hand out as intervals: from rank ``pos`` on, ``first`` and upwards."""
     digits = id_digits(F.col(column))
     numbers = df.where(id_prefix(F.col(column), digits) == fit.prefix).select(
-        digits.try_cast("bigint").alias("n")).where(F.col("n").isNotNull()).distinct()
+        digits.try_cast("decimal(38,0)").alias("n")).where(F.col("n").isNotNull()).distinct()
     # A number far enough past the largest closes the last interval.
-    end = df.sparkSession.range(1).select(F.lit(fit.high + fit.nulls + 1).cast("bigint").alias("n"))
+    end = df.sparkSession.range(1).select(F.lit(fit.high + fit.nulls + 1).cast("decimal(38,0)").alias("n"))
     bucket = range_bucket(numbers, ["n"], buckets, rows=fit.matches)
     steps = running(numbers.unionByName(end), ["n"],
                     [Running("i", "rank"), Running("p", "previous", F.col("n"))], bucket=bucket)
     # Before number p there are (p - low) - (i - 1) missing numbers.
-    start = (F.col("p") - F.lit(fit.low) - (F.col("i") - 1)).alias("pos")
+    start = (F.col("p") - F.lit(fit.low) - (F.col("i") - 1)).try_cast("bigint").alias("pos")
     gaps = steps.where(F.col("n") > F.col("p") + 1).select(start, (F.col("p") + 1).alias("first"))
     return gaps.where(F.col("pos") < fit.nulls)
 
@@ -161,9 +164,9 @@ def _hand_out(asking: DataFrame, rank: str, column: str, fit: IdPattern, gaps: D
     it. No range of numbers is spelled out."""
     rest = [c for c in asking.columns if c not in (column, rank)]
     asked = asking.select(F.col(rank).alias("pos"), F.lit(1).alias("kind"),
-                          F.lit(None).cast("struct<a:bigint,b:bigint>").alias("gap"), F.struct(*rest).alias(PAYLOAD))
+                          F.lit(None).cast("struct<a:bigint,b:decimal(38,0)>").alias("gap"), F.struct(*rest).alias(PAYLOAD))
     given = gaps.select("pos", F.lit(0).alias("kind"),
-                        F.struct(F.col("pos").alias("a"), F.col("first").alias("b")).alias("gap"))
+                        F.struct(F.col("pos").alias("a"), F.col("first").cast("decimal(38,0)").alias("b")).alias("gap"))
     both = given.unionByName(asked, allowMissingColumns=True)
     # Positions run from 0 to nulls - 1 with at most two rows each: equal cuts are balanced.
     parts = buckets or bucket_count(fit.nulls, asking.sparkSession)

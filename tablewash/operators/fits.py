@@ -124,7 +124,7 @@ def fit_id_pattern(
     parts = df.select(cell.alias("cell"), *order_by).withColumn("digits", id_digits(F.col("cell")))
     parts = parts.withColumn("prefix", id_prefix(F.col("cell"), F.col("digits")))
     place = F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)
-    number = F.col("digits").try_cast("bigint")
+    number = F.col("digits").try_cast("decimal(38,0)")
     by_prefix = parts.groupBy("prefix", F.col("cell").isNull().alias("missing")).agg(
         F.count(F.lit(1)).alias("n"), F.min(place).alias("seen"),
         F.min(F.length("digits")).alias("w0"), F.max(F.length("digits")).alias("w1"),
@@ -142,4 +142,5 @@ def fit_id_pattern(
         return None
     best = row["best"]
     width = best["w0"] if best["w0"] == best["w1"] else 0
-    return IdPattern(best["prefix"], width, best["n"], row["cells"], row["nulls"], best["lo"], best["hi"])
+    return IdPattern(best["prefix"], width, best["n"], row["cells"], row["nulls"],
+                     *((best["lo"], best["hi"]) if best["w1"] <= 38 else (None, None)))

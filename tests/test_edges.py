@@ -77,3 +77,13 @@ def test_streams(spark, tmp_path):
     query = keep_known(stream, "f", keys, "k").writeStream.trigger(availableNow=True).format("memory").queryName("known").start()
     query.awaitTermination()
     assert {r.v for r in spark.table("known").collect()} == {"a", "b"}
+
+
+def test_long_identifier_numbers_go_on(spark):
+    cells = ["A12345678901234567890", None, "A12345678901234567892", None]
+    df = spark.createDataFrame(list(enumerate(cells)), "k int, c string")
+    out = [r.c for r in fills.fill_sequential(df, "c", ["k"]).orderBy("k").collect()]
+    assert out == ["A12345678901234567890", "A12345678901234567891", "A12345678901234567892", "A12345678901234567893"]
+    longer = df.withColumn("c", F.concat("c", F.lit("0" * 30)))
+    with pytest.raises(CleaningError):
+        fills.fill_sequential(longer, "c", ["k"])
