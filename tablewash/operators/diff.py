@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,6 +36,20 @@ def impact(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+def impact_sentence(
+    before: DataFrame, after: DataFrame, what: str, column: str | None = None, value: Column | None = None
+) -> DataFrame:
+    """One row with what a step did, told from both tables: the rows it removed, or with ``column`` the
+    cells of it that were filled, and the ``value`` they were filled with."""
+    if column is None:
+        return impact(before, after).select(F.concat(
+            F.lit("Removed "), "rows_removed", F.lit(" of "), "rows_before", F.lit(f" rows {what}")).alias("sentence"))
+    here, there = (
+        df.agg(F.count_if(missing_nan(F.col(column), df.schema[column].dataType).isNull()).alias("n")) for df in (before, after))
+    told = F.concat(F.lit("Filled "), (F.col("n") - there.scalar()).cast("string"), F.lit(f" missing cells of {column} using {what}"))
+    return here.select((told if value is None else F.concat(told, F.lit(" "), value.cast("string"))).alias("sentence"))
+
+
 def dry_run(df: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """What ``step`` would do, without keeping its result; one row with ``valid = false`` and the
     reason if it cannot be applied."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewash.operators import cells, detect, diff, fills, profile, rows
-from tablewash.plans.steps import Step
+from tablewash.operators.fits import fit_median
 from tablewash.sources.tables import TableSet
 from tablewash.workloads.messy import oracle, table, view
 from tablewash.workloads.registry import query
@@ -297,10 +297,15 @@ def diff_cells_report(spark, folder):
     return diff.sample_changes(view(spark, folder, "orders_messy"), _edited(spark, folder), ["k"])
 
 
-@query("step_sentence")
+@query("step_sentence", oracle("orders_messy orders_twice", """
+SELECT 'drop_duplicates' AS action_type, 'Removed ' || (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM orders_twice)))
+  || ' of ' || count(*) || ' rows as duplicates' AS sentence FROM orders_twice
+UNION ALL SELECT 'fill_null', 'Filled ' || (count(*) - count(price)) || ' missing cells of price using median '
+  || CAST(CAST(round(median(price), 2) AS DECIMAL(18, 2)) AS VARCHAR) FROM orders_twice"""))
 def step_sentence(spark, folder):
     before = view(spark, folder, "orders_twice")
-    step = Step("drop_duplicates")
-    shape = diff.impact(before, rows.drop_duplicates(before)).first()
-    text = step.sentence(shape["rows_before"], shape["rows_after"])
-    return spark.createDataFrame([(step.action_type, text)], "action_type string, sentence string")
+    value = F.lit(fit_median(before, ["price"])["price"]).cast("decimal(18,2)")
+    dropped = diff.impact_sentence(before, rows.drop_duplicates(before), "as duplicates")
+    filled = diff.impact_sentence(before, fills.fill_median(before, "price"), "median", "price", value)
+    return dropped.select(F.lit("drop_duplicates").alias("action_type"), "sentence").unionByName(
+        filled.select(F.lit("fill_null").alias("action_type"), "sentence"))

@@ -239,7 +239,25 @@ def suggested_clean(spark, folder):
         moment(c) if c == "day_text" else F.round(c, 4).alias(c) if c in ("price", "amount") else F.col(c) for c in done.columns])
 
 
-@query("suggested_steps")
+_STEPS = """
+SELECT * FROM (VALUES
+  (0, 'drop_duplicates', NULL, NULL, 'Removed rows as duplicates'),
+  (1, 'strip_whitespace', 'priority', NULL, 'Stripped whitespace around priority'),
+  (2, 'standardize_format', 'id_text', NULL, 'Brought identifiers in id_text to one format'),
+  (3, 'replace_substring', 'amount', NULL, 'Removed ''$'' from amount'),
+  (4, 'replace_substring', 'amount', NULL, 'Removed '','' from amount'),
+  (5, 'convert_type', 'amount', 'float', 'Converted amount to float'),
+  (6, 'convert_type', 'day_text', 'datetime', 'Converted day_text to datetime'),
+  (7, 'fill_null', 'order_name', 'sequential', 'Filled missing cells of order_name using sequential'),
+  (8, 'fill_null', 'price', 'median', 'Filled missing cells of price using median'),
+  (9, 'fill_null', 'amount', 'median', 'Filled missing cells of amount using median'),
+  (10, 'fill_null', 'status', 'constant', 'Filled missing cells of status using constant ''pending'''),
+  (11, 'fill_null', 'day_text', 'forward_fill', 'Filled missing cells of day_text using forward_fill'),
+  (12, 'remove_outliers', 'spike', NULL, 'Removed rows with outliers in spike (iqr)'))
+AS steps(position, action_type, "column", choice, sentence)"""
+
+
+@query("suggested_steps", _STEPS)
 def suggested_steps(spark, folder):
     raw = view(spark, folder, "orders_twice").selectExpr(
         "k", NAME_SPARK, "id_text", "price", "amount", "status", "priority", "day_text", "spike")
