@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewash.llm import decontaminate, near_dups, packing, quality, secrets
-from tablewash.llm.common import materialize, read
+from tablewash.llm.common import fresh, materialize, read
 from tablewash.llm.queries import tokenizer_file
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the verdicts on hosts keep."""
-    return quality.host_verdicts(quality.measure(docs)).where("kept").select(*docs.columns)
+    # Whole rows travel as one column, so that none of theirs meets a column of the verdicts.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text", "source")
+    return quality.host_verdicts(quality.measure(rows)).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +29,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark; n_chars follows where a text changed."""
-    found = secrets.find_secrets(docs, out="findings")
-    text = secrets.redact(F.col("text"), F.col("findings"))
-    n_chars = F.when(F.size("findings") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    (findings,) = fresh(docs, "findings")
+    found = secrets.find_secrets(docs, out=findings)
+    text = secrets.redact(F.col("text"), F.col(findings))
+    n_chars = F.when(F.size(findings) > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     # The length first: it is taken from the text as it was, with the mark put in once.
     return found.withColumn("n_chars", n_chars).withColumn("text", text).select(*docs.columns)
 

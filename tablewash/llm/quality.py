@@ -28,7 +28,8 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     n_words, word_chars: words ``[^\\x20\\x09-\\x0D]+`` and the code points in them; n_symbols:
     characters of ``#*$%&|<>``; n_lines, n_dup_lines: lines with a word, and those of them equal to an
     earlier line; n_repeat_words: words inside 8-word windows that occur twice or more in the text;
-    n_capitals: upper-case letters A to Z and of Latin-1, 0 if no two stand together. A NULL or empty text has 0 of all.
+    n_capitals: upper-case letters A to Z and of Latin-1, 0 if no two stand together. A column named
+    ``measures`` is replaced. A NULL or empty text has 0 of all.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     words = F.array_remove(F.split(whole, "[ \t-\r]+", -1), "")
@@ -89,7 +90,7 @@ def host_verdicts(
     host is at least ``tolerated``, or its host's shrunk rate of any failure is over ``bad_rate``.
 
     The measured table is written once; its rows meet the verdicts, one row per host, by host, so
-    that no hot host is gathered. Documents with a NULL host form one host. Repeated rows count
+    that no hot host is gathered. Columns named like the three are replaced. Documents with a NULL host form one host. Repeated rows count
     each. An empty table gives an empty table.
     """
     fails, rates, n, name = fresh(measured, "fails", "rates", "n_docs", "host_name")

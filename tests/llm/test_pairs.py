@@ -224,7 +224,9 @@ def test_pipeline_on_a_fixture(spark, tmp_path):
     rows = [(i, t) for i, t in enumerate(texts)]
     rows += [(100, texts[0]), (101, " ".join(near)), (102, "too short"), (103, " ".join(words(20) + item + words(20))),
              (104, " ".join(words(40)) + ' token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end'), (105, None)]
-    spark.createDataFrame([(d, t, "en", "s", None) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(
+        [(d, t, "en", "s", None, "x", "y", "z") for d, t in rows],
+        "doc_id long, text string, lang string, source string, n_chars long, kept string, findings string, key string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
     columns = docs.columns
@@ -233,6 +235,7 @@ def test_pipeline_on_a_fixture(spark, tmp_path):
         docs.write.parquet(f"{tmp_path}/{k}")
         docs = spark.read.parquet(f"{tmp_path}/{k}")
         assert k == 4 or docs.columns == columns
+        assert docs.where("kept = 'x' AND findings = 'y' AND key = 'z'").count() == docs.count()
         seen.append({x.doc_id for x in docs.select("doc_id").collect()})
     everything = {*range(30), 100, 101, 103, 104}
     assert seen == [everything, everything - {100, 101}, everything - {100, 101, 103}, *[everything - {100, 101, 103}] * 2]
