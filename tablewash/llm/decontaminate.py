@@ -1,4 +1,4 @@
-"""Passages of a benchmark inside documents: SimHash of item-sized windows, multi-index search, verification."""
+"""Passages of a benchmark inside documents: SimHash of item-sized windows, multi-index search, anchors, verification."""
 
 from __future__ import annotations
 
@@ -45,7 +45,7 @@ class Index:
     """What is searched for: items by class, with the weights of their shingles. A shingle weighs 1
     divided by the number of items that have it, so that phrases of many items count little."""
 
-    def __init__(self, ids: list, texts: list[str], radius: int = RADIUS, words: int = WORDS):
+    def __init__(self, ids: list, texts: list[str], radius: int = RADIUS, words: int = WORDS, threshold: float = THRESHOLD):
         self.ids, self.radius, self.words = ids, radius, words
         column = pa.array(texts, pa.string())
         self.shingles, self.counts, sizes, prints = [], [], [], []
@@ -73,6 +73,36 @@ class Index:
             self.classes[-1].shortest = n
         for c in self.classes:
             self._build(c)
+        self._anchor(threshold)
+
+    def _anchor(self, threshold: float) -> None:
+        """Anchors: shingles of which every window that reaches ``threshold`` for an item has one at least.
+        The similarity is at most the weight of the item's shingles in the window divided by the weight of
+        all of them, so the item's most common ones are left out as long as they weigh less than that."""
+        kinds, items = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for i in np.flatnonzero(self.sizes >= self.words):
+            weight = self.weights(self.shingles[i])
+            order = np.argsort(weight, kind="stable")
+            kept = order[np.cumsum((self.counts[i] * weight)[order]) >= (threshold - 1e-9) * self.totals[i]]
+            kinds.append(self.shingles[i][kept])
+            items.append(np.full(len(kept), i))
+        kind, item = np.concatenate(kinds), np.concatenate(items)
+        order = np.argsort(kind, kind="stable")
+        self.anchors, first = np.unique(kind[order], return_index=True)
+        self.anchor_starts, self.anchor_items = np.append(first, len(kind)), item[order]
+        self.anchor_bits = np.zeros(1 << 20, bool)
+        self.anchor_bits[self.anchors & np.uint64((1 << 20) - 1)] = True
+
+    def anchored(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every (place, item) where the shingle at the place is an anchor of the item."""
+        place = np.flatnonzero(self.anchor_bits[shingles & np.uint64((1 << 20) - 1)])
+        at = np.searchsorted(self.anchors, shingles[place])
+        at[at == len(self.anchors)] = 0
+        hit = self.anchors[at] == shingles[place] if len(self.anchors) else np.zeros(len(at), bool)
+        place, at = place[hit], at[hit]
+        count = self.anchor_starts[at + 1] - self.anchor_starts[at]
+        entry = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.anchor_starts[at], count)
+        return np.repeat(place, count), self.anchor_items[entry]
 
     def _build(self, c: Class) -> None:
         c.prints = self.prints[c.items]
@@ -184,6 +214,14 @@ def search(index: Index, hashes: np.ndarray, starts: np.ndarray, threshold: floa
     """(text, item, similarity, first word) of the best place of each item found in each of some
     neighbouring texts, given the hashes of their words and where each text's words start."""
     best: dict[tuple[int, int], tuple[float, int]] = {}
+
+    def note(text: int, item: int, found: tuple[float, int]) -> None:
+        """``found`` is a similarity and the word of all texts at which the place starts."""
+        key, place = (text, item), found[1] - int(starts[text])
+        if found[0] >= threshold and (key not in best or (found[0], -place) > (best[key][0], -best[key][1])):
+            best[key] = (found[0], place)
+
+    lengths = np.diff(starts)
     longest = max((c.window for c in index.classes), default=0)
     slack = 2 * longest
     stride = max(HELD_WORDS, 4 * slack)
@@ -198,6 +236,10 @@ def search(index: Index, hashes: np.ndarray, starts: np.ndarray, threshold: floa
         begins, ends = bounds[:-1], bounds[1:]
         doc_of = np.repeat(np.arange(len(begins)), ends - begins)
         end_of, begin_of = ends[doc_of], begins[doc_of]
+        for text, item, low, high in _anchored_spans(index, shingles, begin_of, end_of, doc_of + first, lengths):
+            end = int(end_of[low])
+            found = index.best_place(item, shingles[: end - index.words + 1], low, high + 1, end, threshold)
+            note(text, item, (found[0], base + found[1]))
         sums = vote_sums(shingles, longest) if len(shingles) else []
         for c in index.classes:
             run = min(index.words, c.window)
@@ -207,8 +249,8 @@ def search(index: Index, hashes: np.ndarray, starts: np.ndarray, threshold: floa
             p = np.concatenate([np.arange(0, len(part), c.step), begins[full], ends[full] - c.window])
             p = np.sort(p[p + c.window <= end_of[np.minimum(p, len(part) - 1)]])
             p = p[np.diff(p, prepend=-1) > 0]
-            # A text shorter than a window is one.
-            short = np.flatnonzero(~full & (ends - begins >= max(1, int(c.shortest * threshold))))
+            # A text shorter than a window is one; what is cut off a longer text is not.
+            short = np.flatnonzero(~full & (ends - begins == lengths[first:last]) & (ends - begins >= max(1, int(c.shortest * threshold))))
             prints = np.empty(len(p) + len(short), np.uint64)
             if run == index.words:
                 prints[: len(p)] = window_prints(sums, p, count)
@@ -232,14 +274,32 @@ def search(index: Index, hashes: np.ndarray, starts: np.ndarray, threshold: floa
                     found = (index.similarity(item, shingle_hashes(part[doc_begin:doc_end], index.words)), doc_begin)
                 else:
                     found = index.best_place(item, shingles[: doc_end - index.words + 1], low, high, doc_end, threshold)
-                key = (int(first) + int(doc_of[at]), item)
-                place = base + found[1] - int(starts[key[0]])
-                if found[0] >= threshold and (key not in best or (found[0], -place) > (best[key][0], -best[key][1])):
-                    best[key] = (found[0], place)
+                note(int(first) + int(doc_of[at]), item, (found[0], base + found[1]))
     for (text, item), (similarity, place) in sorted(best.items()):
         yield text, item, similarity, place
 
 
+def _anchored_spans(
+    index: Index, shingles: np.ndarray, begin_of: np.ndarray, end_of: np.ndarray, text_of: np.ndarray, lengths: np.ndarray
+) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, first start, last start) of all item-sized windows that hold an anchor of their item."""
+    place, item = index.anchored(shingles)
+    inside = place + index.words <= end_of[place]
+    place, item = place[inside], item[inside]
+    n, text, begin, end = index.sizes[item], text_of[place], begin_of[place], end_of[place]
+    low, high = np.maximum(begin, place - n + index.words), np.minimum(place, end - n)
+    short = (lengths[text] < n) & (end - begin == lengths[text])
+    low[short] = high[short] = begin[short]
+    order = np.lexsort((low, item, text))
+    order = order[low[order] <= high[order]]
+    text, item, low, high = text[order], item[order], low[order], high[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (low[1:] > high[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(order))[: len(first)] - 1
+    yield from zip(text[first].tolist(), item[first].tolist(), low[first].tolist(), high[last].tolist())
+
+
 def find_passages(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
     threshold: float = THRESHOLD, radius: int = RADIUS, words: int = WORDS,
@@ -251,7 +311,9 @@ def find_passages(
     ``words`` words (any letter case) is looked up in a multi-index of the items' fingerprints, which
     gives every item within ``radius`` bits; a candidate is verified by the weighted Jaccard
     similarity of the shingles at all item-sized places around the window, which must reach
-    ``threshold``. Documents are not shuffled, and their neighbours in a batch only share the arrays.
+    ``threshold``. As fingerprints of edited passages may differ in more bits, all item-sized places
+    that hold one of the item's anchors are verified too; no place that reaches ``threshold`` lacks one.
+    Documents are not shuffled, and their neighbours in a batch only share the arrays.
 
     The items go to every task, at most ``ITEMS_AT_ONCE`` of them at a time: a larger benchmark is
     searched for in several passes whose results are united, so the size sent is bounded.
@@ -272,7 +334,7 @@ def find_passages(
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = None
             for batch in batches:
-                index = index or Index(*sent.value, radius=radius, words=words)
+                index = index or Index(*sent.value, radius=radius, words=words, threshold=threshold)
                 found = list(_found(batch, index, threshold))
                 if found:
                     row, i, similarity, word = zip(*found)
@@ -298,7 +360,7 @@ def without_passages(
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = None
             for batch in batches:
-                index = index or Index(*sent.value, radius=radius, words=words)
+                index = index or Index(*sent.value, radius=radius, words=words, threshold=threshold)
                 clean = np.ones(batch.num_rows, bool)
                 clean[[row for row, *_ in _found(batch, index, threshold)]] = False
                 yield batch.select(range(batch.num_columns - 1)).filter(pa.array(clean))

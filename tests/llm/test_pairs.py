@@ -200,6 +200,47 @@ def test_passages_are_found_and_others_left(spark):
     assert decontaminate.find_passages(df.limit(0), bench).collect() == []
 
 
+def edited_passages(seed, copies):
+    """Items, texts with an edited copy of one of them each, and what brute force over all windows finds."""
+    r = random.Random(seed)
+    word = lambda: f"w{r.randint(0, 3000)}"
+    phrase = [word() for _ in range(7)]
+    items = [[word() for _ in range(n)] for n in (15, 24, 27, 34, 38, 51, 52, 59)]
+    items += [[*phrase, *(word() for _ in range(n))] for n in (20, 33)] + [["again", "and"] * 15]
+    texts = []
+    for k in range(copies):
+        passage, filler = list(items[k % len(items)]), [[word() for _ in range(r.choice((0, 3, 90)))] for _ in range(2)]
+        for _ in range(r.choice((0, 1, 1, 2))):
+            at = r.randrange(len(passage))
+            passage[at : at + r.choice((0, 1, 1))] = r.choice(([], [word()]))
+        if k % 4 == 0:
+            passage = passage[r.randint(0, 3) : len(passage) - r.randint(0, 3)]
+        texts.append([*filler[0], *passage, *filler[1]])
+    index = decontaminate.Index(list(range(len(items))), [" ".join(w) for w in items])
+    offsets = np.cumsum([0, *map(len, texts)])
+    hashes = [word_hashes(np.frombuffer(" ".join(w).encode(), np.uint8), np.array([0, len(" ".join(w))]))[0] for w in texts]
+    wanted = {}
+    for t, h in enumerate(hashes):
+        for i, w in enumerate(items):
+            best = max(index.similarity(i, shingle_hashes(h[q : q + len(w)], 5)) for q in range(max(1, len(h) - len(w) + 1)))
+            if best >= 0.8:
+                wanted[t, i] = best
+    return index, np.concatenate(hashes), offsets, wanted
+
+
+def test_no_passage_at_the_threshold_is_lost():
+    index, hashes, offsets, wanted = edited_passages(3, 500)
+    got = {(t, i): s for t, i, s, _ in decontaminate.search(index, hashes, offsets, 0.8)}
+    assert sum(s < 0.85 for s in wanted.values()) > 20
+    assert got == pytest.approx(wanted)
+
+
+def test_passages_at_the_threshold_across_parts(monkeypatch):
+    monkeypatch.setattr(decontaminate, "HELD_WORDS", 300)
+    index, hashes, offsets, wanted = edited_passages(8, 120)
+    assert {(t, i): s for t, i, s, _ in decontaminate.search(index, hashes, offsets, 0.8)} == pytest.approx(wanted)
+
+
 def test_multi_index_is_whole():
     r = np.random.default_rng(5)
     index = decontaminate.Index(list(range(30)), [" ".join(f"w{x}" for x in r.integers(0, 500, 20)) for _ in range(30)])
