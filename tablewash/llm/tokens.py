@@ -49,10 +49,12 @@ class WordCache(dict):
         self.tokenizer, self.make = load_tokenizer(path), make
         normalizer = self.tokenizer.normalizer
         self.folds = normalizer is not None and normalizer.normalize_str("A") == "a"
+        #: Special strings match the text as it stands, so a word with one in any letter case is not folded.
+        self.added = tuple(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
 
     def __missing__(self, word: str):
         body = word[1:] if word[:1] == " " else word
-        if self.folds and word.isascii() and word != (low := word.lower()):
+        if self.folds and word.isascii() and word != (low := word.lower()) and not any(a in low for a in self.added):
             value = self[low]
         elif len(body) > 1 and body[-1] in ".,;:!?*#$%&|" and _plain_letters(body[:-1]):
             value = self[word[:-1]] + self[body[-1]]

@@ -15,7 +15,8 @@ from tablewash.llm.labelled_pages import labelled_pages
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BYTES, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
-NASTY = ["a  b", " \n x", "<|endoftext|>", "it's", "é", "क़,", "İ,", "Σ", "́", "12.5", "\t", "　", "\x1c", "\x85", "ß|", "word", "***", "\n\n", "don't."]
+NASTY = ["a  b", " \n x", "<|endoftext|>", "it's", "é", "क़,", "İ,", "Σ", "́", "12.5", "\t", "　", "\x1c", "\x85", "ß|", "word", "***", "\n\n", "don't.",
+         "<|ENDOFTEXT|>", "<|EndOfText|>", "<|StartOfText|>", "Ab<|ENDOFTEXT|>Cd", "Ab<|endoftext|>Cd."]
 
 
 def library(path, text):
@@ -34,6 +35,13 @@ def test_counts_and_ids_are_the_librarys(parts, between):
         assert tokens.count_tokens_spliced(tokens.load_tokenizer(BYTES), text, 40, 4) == len(library(BYTES, text))
 
 
+@pytest.mark.parametrize("text", [
+    "<|ENDOFTEXT|>", "<|EndOfText|>", "<|endoftext|>", "<|STARTOFTEXT|>", "Ab<|ENDOFTEXT|>Cd", "Ab<|endoftext|>Cd. <|EndOfText|>!", "WORD Word."])
+def test_special_strings_keep_their_letter_case(text):
+    encode, _ = packing._encoder(WORDS, 1)
+    assert list(next(encode([text]))) == [*library(WORDS, text), 1]
+
+
 @pytest.mark.parametrize("text", ["ab" * 3000, "word " * 4000, "\n" * 3000, " a  b" * 2000, "x y " + "é" * 5000 + " <|endoftext|> end"])
 def test_spliced_counts_of_long_texts(text):
     assert tokens.count_tokens_spliced(tokens.load_tokenizer(BYTES), text, 1000, 16) == len(library(BYTES, text))
