@@ -71,3 +71,58 @@ def labelled_findings(n: int, seed: int = 0) -> list[tuple[str, str, int]]:
         quote = before[-1] if before[-1:] in ("'", '"') else ""
         out.append((f"{_text(r, r.randint(0, 8))} {before}{value}{quote}{r.choice((' ', '. ', chr(10), ', '))}{_text(r, r.randint(0, 6))}", value, i % 2))
     return out
+
+
+_PEOPLE = "hunter dragon monkey summer winter orange tiger purple coffee silver magic shadow flower anna peter berlin qwerty admin welcome".split()
+_NAMES = ("password", "passwd", "pwd", "db_password", "secret", "client_secret", "my_client_secret", "AWS_SECRET_ACCESS_KEY", "api_key",
+          "token", "auth_token", "DATABASE_PASSWORD", "passphrase", "access_key")
+
+
+def _short_secret(r: random.Random) -> str:
+    pick = lambda letters, n: "".join(r.choices(letters, k=n))
+    kind = r.random()
+    if kind < 0.35:
+        word = r.choice(_PEOPLE)
+        word = r.choice((word, word.capitalize(), word.replace("a", "@").replace("o", "0").replace("e", "3").replace("s", "$")))
+        return word + r.choice(("", "-", "_", "!", "@", "#")) + pick("0123456789", r.randint(1, 4)) + r.choice(("", "", "!", "abc", "xY", "$", "?"))
+    if kind < 0.7:
+        return pick(_MIXED, 1) + pick(_MIXED + "!@$&.:#%*+-_^~?/=", r.randint(4, 24)) + pick(_MIXED + "!$&#", 1)
+    if kind < 0.9:
+        return pick(_MIXED, r.randint(5, 40))
+    return pick("0123456789", r.randint(4, 10))
+
+
+def _no_secret(r: random.Random) -> str:
+    name, word = r.choice(_PARTS), r.choice(("token", "password", "secret", "key"))
+    return r.choice((
+        "None", "null", "true", "false", "str", "string", "required", "optional", "undefined", "text", "bytes", "changeme", "*" * r.randint(3, 12),
+        "x" * r.randint(3, 12), f"${{{word.upper()}}}", f"os.environ['{word.upper()}']", "getpass()", f"<{word}>", f"<your-{word}>", f"your_{word}",
+        f"self.{word}", f"config.{name}", f"process.env.{word.upper()}", f"{{{{ {word} }}}}", f"${word.upper()}", f"{name}_{word}", f"get_{word}(user)",
+        f"args.{word}", name, f"{name} {r.choice(_PARTS)}", "".join(r.choices(_SYLLABLES, k=r.randint(1, 4))), "the", "a", "and"))
+
+
+def labelled_values(n: int, seed: int = 0) -> list[tuple[str, str, int]]:
+    """``n`` (text, marked string, 1 if it is a secret) of values assigned to names that tell of secrets,
+    in any alphabet and down to a few characters, of private-key blocks and of tokens with dots."""
+    out = []
+    for i in range(n):
+        r = random.Random((seed + 1) * 1_000_033 + i)
+        pick = lambda letters, k: "".join(r.choices(letters, k=k))  # noqa: B023, E731
+        kind, quote = r.random(), r.choice(('"', '"', "'", ""))
+        name, sign = r.choice(_NAMES), r.choice((" = ", "=", ": ", ":"))
+        if i % 2 and kind < 0.1:
+            label = r.choice(("RSA ", "EC ", "OPENSSH ", ""))
+            lines = chr(10).join(pick(_MIXED + "+/", 64) for _ in range(r.randint(2, 6)))
+            value, before, quote = f"-----BEGIN {label}PRIVATE KEY-----\n{lines}\n-----END {label}PRIVATE KEY-----", "", ""
+        elif i % 2 and kind < 0.2:
+            value = ".".join(("eyJ" + pick(_MIXED, r.randint(15, 33)), "eyJ" + pick(_MIXED, r.randint(30, 90)), pick(_MIXED + "-_", 42) + "A"))
+            before, quote = r.choice(("Authorization: Bearer ", "", "jwt ", "see ")), ""
+        elif not i % 2 and kind < 0.2:
+            value = r.choice(("www.", "docs.", "com.example.")) + "".join(r.choices(_PARTS, k=4)) + r.choice((".com", ".html", ""))
+            before, quote = r.choice(("", "see ", "import ")), ""
+        else:
+            value, before = _short_secret(r) if i % 2 else _no_secret(r), f"{name}{sign}{quote}"
+            if quote and quote in value or not quote and (" " in value or "'" in value):
+                value = name.lower() if not i % 2 else value.replace(quote or " ", "")
+        out.append((f"{_text(r, r.randint(0, 8))} {before}{value}{quote}{r.choice((' ', chr(10), ', '))}{_text(r, r.randint(0, 6))}", value, i % 2))
+    return out

@@ -10,11 +10,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewash.llm.common import fresh
-from tablewash.llm.labelled_findings import labelled_findings
+from tablewash.llm.labelled_findings import labelled_findings, labelled_values
 
-#: Labelled findings that the forest is trained from, its trees and their depth.
+#: Labelled findings that the forest is trained from (and as many labelled values), its trees and their depth.
 FINDINGS, TREES, DEPTH = 2000, 24, 7
-CANDIDATE = r"[A-Za-z0-9+/=_\-]{16,}"
+#: A name that tells of a secret, and what stands between it and its value, up to a quote.
+_NAME = r"(?i:token|secret|passw(?:or)?d|passwd|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?)"
+_GIVEN = _NAME + r"[A-Za-z0-9_\-]{0,24}[\"']?\]?\s{0,4}(?:=|:|:=|=>)\s{0,4}"
+#: Names themselves, which are no candidates; they end before the sign of assignment.
+_NAMES = rf"(?<![A-Za-z0-9_\-])[A-Za-z0-9_\-]{{0,40}}?{_NAME}[A-Za-z0-9_\-]{{0,24}}(?=[\"']?\]?\s{{0,4}}(?:=|:))"
+_KEY_LABEL = "[A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+_KEY_BLOCK = rf"-----BEGIN {_KEY_LABEL}(?:[^-]*+(?:-(?!----)[^-]*+){{0,200}}+-----END {_KEY_LABEL}|[A-Za-z0-9+/=\\\r\n]*+)"
+#: What can be a secret, in the order in which it is tried: private-key blocks; values after a name, in quotes
+#: or not, of any length; (names;) tokens with dots; runs of 16 or more characters of keys.
+CANDIDATE = "|".join((
+    _KEY_BLOCK,
+    rf"(?<=\")(?<={_GIVEN}\")[^\"\n]+(?=\")", rf"(?<=')(?<={_GIVEN}')[^'\n]+(?=')",
+    rf"(?<=[=:>]\s{{0,4}})(?<={_GIVEN})[^\s\"'`,;=:>][^\s\"'`,;]*(?<![.:)\]}}>])",
+    _NAMES,
+    r"(?<![A-Za-z0-9_\-])[A-Za-z0-9_\-]{2,}+\.[A-Za-z0-9_\-]{16,}+(?:\.[A-Za-z0-9_\-]++)*",
+    r"[A-Za-z0-9+/_\-][A-Za-z0-9+/=_\-]{15,}"))
 BEFORE, AFTER = 40, 12
 #: Pieces of words that texts and names are made of.
 DICTIONARY = (
@@ -25,7 +40,8 @@ DICTIONARY = (
     "hat her ere ith for that with this from have not are was all out one can had has end ast est ist ich der die das "
     "und ier ous ive ate ant ine ure ity ism ology graph phone house work land man").split()
 FEATURES = ("length", "digits", "capitals", "transitions", "vowels", "dictionary", "distinct", "letter_run", "hex_only",
-            "path", "secret_words", "harmless_words", "assigned", "quoted", "letter_beside")
+            "path", "secret_words", "harmless_words", "assigned", "quoted", "letter_beside", "signs", "named", "key_block", "code",
+            "filler", "line_before", "digest")
 
 
 def _features(c: Column, before: Column, after: Column) -> Column:
@@ -42,30 +58,45 @@ def _features(c: Column, before: Column, after: Column) -> Column:
         F.size(F.array_distinct(F.split(c, ""))) / F.least(n, F.lit(24)),
         F.coalesce(F.array_max(F.transform(letters, lambda x: F.length(x))), F.lit(0)) / n,
         yes(c.rlike("^[0-9a-fA-F]+$")),
-        yes(before.rlike(r"/$|\.$|://\S*$") | c.rlike("[A-Za-z]{3,}/[A-Za-z]{3,}")),
+        yes(before.rlike(r"/$|\.$|://\S*$") | c.rlike("[A-Za-z]{3}/[A-Za-z]{3}")),
         yes(near.rlike(r"token|secret|passw|api.?key|access.?key|private.?key|bearer|auth|credential|key\W{0,4}$")),
         yes(near.rlike(r"(sha-?\d*|hash|md5|commit|checksum|digest|etag|uuid|revision|base64|id)\W{0,4}$|;base64,$")),
         yes(before.rlike(r"[=:]\s*[\"']?$")), yes(after.rlike("^[\"']")),
-        yes(before.rlike(r"[^\x00-\x7F]$") | after.rlike(r"^[^\x00-\x7F]")))])
+        yes(before.rlike(r"[^\x00-\x7F]$") | after.rlike(r"^[^\x00-\x7F]")),
+        1 - share(r"A-Za-z0-9\s"), yes(before.rlike(rf"{_GIVEN}[\"']?$")), yes(c.rlike("^-----BEGIN ")),
+        yes(c.rlike(r"^[$%]?[{<(\[]|\(|^\$[A-Za-z_]+$|^(?i:self|os|process|config|settings|env|request|args|this|options)\b[.\[]")),
+        yes(low.rlike(r"^(.)\1*$|^(none|null|nil|true|false|str|string|text|bytes|optional|required|undefined|empty|todo|"
+                      r"redacted|hidden|changeme|example|placeholder)$|^(your|my|the|insert|enter|example)[ _-]|^x{3,}|\*{3,}")),
+        yes(before.rlike(r"(^|[\n{,;])[^\n ]*\s?[=:]\s?[\"']?$")),
+        yes(c.rlike(r"(?i:sha-?\d+|md5)[-:]")))])
 
 
 def candidates(text: Column) -> Column:
-    """Every run of 16 or more characters of keys, with start, length and features. The text is cut once
-    at the candidates, so a long text with many of them takes one pass."""
+    """Every match of ``CANDIDATE`` but names, with start, length and features. The text is cut once
+    at the candidates, so a long text with many of them takes one pass. The characters before a
+    candidate are those of the whole text, whatever other candidates they belong to."""
     whole = F.coalesce(text, F.lit(""))
     found = F.regexp_extract_all(whole, F.lit(CANDIDATE), F.lit(0))
     gaps = F.split(whole, CANDIDATE, -1)
     starts = lambda c, g: F.aggregate(
-        F.arrays_zip(F.transform(c, lambda x: F.length(x)).alias("n"), F.slice(g, F.lit(1), F.size(c)).alias("g")),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("all")),
-        lambda s, x: F.struct((s["at"] + F.length(x["g"]) + x["n"]).alias("at"),
-                              F.array_append(s["all"], s["at"] + F.length(x["g"])).alias("all")),
+        F.arrays_zip(c.alias("c"), F.slice(g, F.lit(1), F.size(c)).alias("g")),
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.expr("cast(array() as array<struct<at:int,before:string>>)").alias("all")),
+        lambda s, x: F.struct(
+            (s["at"] + F.length(x["g"]) + F.length(x["c"])).alias("at"),
+            F.right(F.concat(s["tail"], F.right(x["g"], F.lit(BEFORE)), F.right(x["c"], F.lit(BEFORE))), F.lit(BEFORE)).alias("tail"),
+            F.array_append(s["all"], F.struct(
+                (s["at"] + F.length(x["g"])).alias("at"),
+                F.right(F.concat(s["tail"], F.right(x["g"], F.lit(BEFORE))), F.lit(BEFORE)).alias("before"))).alias("all")),
         lambda s: s["all"])
 
     def described(p: Column) -> Column:
-        return F.transform(p["c"], lambda c, i: F.struct(
-            F.get(p["s"], i).alias("start"), F.length(c).alias("length"), c.alias("candidate"),
-            _features(c, F.right(F.get(p["g"], i), F.lit(BEFORE)), F.left(F.get(p["g"], i + 1), F.lit(AFTER))).alias("x")))
+        each = F.transform(p["c"], lambda c, i: F.struct(
+            c.alias("c"), F.get(p["s"], i)["at"].alias("at"), F.get(p["s"], i)["before"].alias("before"),
+            F.left(F.get(p["g"], i + 1), F.lit(AFTER)).alias("after")))
+        each = F.filter(each, lambda x: ~(x["c"].rlike(rf"^[A-Za-z0-9_\-]*{_NAME}[A-Za-z0-9_\-]*$") & x["after"].rlike(r"^[\"']?\]?\s{0,4}[=:]")))
+        return F.transform(each, lambda x: F.struct(
+            x["at"].alias("start"), F.length(x["c"]).alias("length"), x["c"].alias("candidate"),
+            _features(x["c"], x["before"], x["after"]).alias("x")))
 
     parts = F.transform(F.array(F.struct(found.alias("c"), gaps.alias("g"))), lambda p: F.struct(
         p["c"].alias("c"), p["g"].alias("g"), starts(p["c"], p["g"]).alias("s")))
@@ -81,10 +112,10 @@ def labelled_features(spark: SparkSession, examples: list[tuple[str, str, int]])
 
 
 def train_forest(spark: SparkSession, findings: int = FINDINGS, trees: int = TREES, depth: int = DEPTH) -> str:
-    """A forest trained from ``findings`` labelled findings, as SQL for the chance that the candidate with
+    """A forest trained from ``findings`` labelled findings and as many labelled values, as SQL for the chance that the candidate with
     features ``f.x`` is a secret. The training set is bounded, and its rows are in one partition, so
     the same forest comes out everywhere."""
-    rows = labelled_features(spark, labelled_findings(findings)).coalesce(1)
+    rows = labelled_features(spark, labelled_findings(findings) + labelled_values(findings)).coalesce(1)
     model = RandomForestClassifier(
         featuresCol="v", labelCol="label", numTrees=trees, maxDepth=depth, seed=7, featureSubsetStrategy="onethird",
     ).fit(rows.select(array_to_vector("x").alias("v"), "label"))
@@ -104,8 +135,9 @@ def find_secrets(df: DataFrame, text: str = "text", out: str = "findings", least
     """``df`` with a column of its findings: (start, length, score) of each secret, in order; start
     counts code points from 0.
 
-    Candidates are all runs of 16 or more of the characters that keys are made of. A random forest
-    over their length, character transitions, dictionary coverage, path and neighbouring words gives
+    Candidates are private-key blocks, values of any length and alphabet assigned to a name that tells
+    of a secret, tokens with dots, and all other runs of 16 or more of the characters that keys are made
+    of. A random forest over their length, character transitions, dictionary coverage, path and neighbouring words gives
     each a score; those under ``least`` are removed as false positives. Only Spark expressions run
     over the rows, the trained trees among them, and nothing is shuffled.
 
