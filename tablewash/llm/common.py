@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tablewash.session import materialize
 
-__all__ = ["fresh", "let", "materialize", "map_batches", "read", "text_key", "word_hashes"]
+__all__ = ["Remembered", "fresh", "let", "materialize", "map_batches", "read", "text_key", "word_hashes"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -140,3 +142,35 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     for k in range(size):
         out = out * np.uint64(0x2545F4914F6CDD1D) + words[k : len(words) - size + k + 1]
     return mix(out + np.uint64(size))
+
+
+# What a worker remembers --------------------------------------------------------------------------
+
+
+class Remembered(dict):
+    """What was worked out for words, kept for later ones: about ``limit`` bytes at most between two
+    calls of ``trim``, and then no word of more than ``longest`` characters. It only saves time."""
+
+    def __init__(self, limit: int = 320 << 20, longest: int = 64):
+        super().__init__()
+        self.limit, self.longest, self.held, self.long = limit, longest, 0, []
+
+    def learn(self, word: str, value) -> None:
+        self[word] = value
+        if len(word) > self.longest:
+            self.long.append(word)
+        else:
+            self.held += _held(word, value)
+
+    def trim(self) -> None:
+        """Forget long words, and the older half of all when they take too much."""
+        for word in self.long:
+            self.pop(word, None)
+        self.long = []
+        if self.held > self.limit:
+            for word in list(islice(self, len(self) // 2)):
+                self.held -= _held(word, self.pop(word))
+
+
+def _held(word: str, value) -> int:
+    return sys.getsizeof(word) + sys.getsizeof(value) + 100

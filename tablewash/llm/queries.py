@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewash.llm import chat, decontaminate, extract, near_dups, oracles, packing, quality, secrets, sharding, tokens, warc
+from tablewash.llm import chat, decontaminate, extract, near_dups, oracles, packing, quality, secrets, sharding, tokens, trie_bpe, warc
 from tablewash.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,6 +99,15 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_text(pages, out="text").withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file("word_bpe_49k.json")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    done = trie_bpe.decode(trie_bpe.encode(docs, path, keep_text=False), path)
+    return done.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
@@ -110,5 +119,6 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_ngram_join": op9_ngram_join,
     "op10_main_text": op10_main_text,
+    "op11_bpe": op11_bpe,
 }
 ORACLES: dict[str, str] = {"op3_chat_format": oracles.CHAT, "op4_quality_rules": oracles.QUALITY}
