@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewash.llm import chat, decontaminate, extract, near_dups, oracles, packing, quality, secrets, sharding, tokens, trie_bpe, warc
+from tablewash.llm import alignment, chat, decontaminate, extract, near_dups, oracles, packing, quality, secrets, sharding, tokens, trie_bpe, warc
 from tablewash.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +108,12 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    done = alignment.align(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+    return done.select("doc_id", *alignment.MEASURES, "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
@@ -120,5 +126,6 @@ QUERIES: dict[str, Query] = {
     "op9_ngram_join": op9_ngram_join,
     "op10_main_text": op10_main_text,
     "op11_bpe": op11_bpe,
+    "op12_alignment": op12_alignment,
 }
 ORACLES: dict[str, str] = {"op3_chat_format": oracles.CHAT, "op4_quality_rules": oracles.QUALITY}
