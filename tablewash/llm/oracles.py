@@ -68,3 +68,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   round(any_rate, 9) AS host_rate
 FROM ruled JOIN hosts ON ruled.source IS NOT DISTINCT FROM hosts.source
 """
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKED = rf"""
+WITH docs AS (SELECT row_number() OVER () AS d, doc_id, {_TERMS} AS w FROM documents WHERE text IS NOT NULL),
+corpus AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM docs WHERE len(w) > 0),
+lengths AS (SELECT d, doc_id, 25 + (75 * len(w) * n_docs) // n_terms AS m FROM docs, corpus WHERE len(w) > 0),
+wanted AS (
+  SELECT i, item_id, t, CAST(count(*) AS BIGINT) AS times
+  FROM (SELECT row_number() OVER () AS i, item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY i, item_id, t),
+held AS (SELECT d, t, CAST(count(*) AS BIGINT) AS tf FROM (SELECT d, unnest(w) AS t FROM docs) WHERE t IN (SELECT t FROM wanted) GROUP BY d, t),
+weights AS (
+  SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight
+  FROM held, corpus GROUP BY t, n_docs),
+scored AS (
+  SELECT i, item_id, d, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM wanted JOIN held USING (t) JOIN weights USING (t) JOIN lengths USING (d) GROUP BY i, item_id, d, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""

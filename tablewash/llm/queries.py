@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewash.llm import alignment, chat, decontaminate, extract, near_dups, oracles, packing, quality, secrets, sharding, tokens, trie_bpe, warc
+from tablewash.llm import alignment, chat, decontaminate, extract, near_dups, oracles, packing, quality, ranked, secrets, sharding, tokens, trie_bpe, warc
 from tablewash.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,6 +114,11 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", *alignment.MEASURES, "n_best", "count_sum", "groups_sha256")
 
 
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked.rank_documents(docs, read(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
@@ -127,5 +132,6 @@ QUERIES: dict[str, Query] = {
     "op10_main_text": op10_main_text,
     "op11_bpe": op11_bpe,
     "op12_alignment": op12_alignment,
+    "op13_ranked": op13_ranked,
 }
-ORACLES: dict[str, str] = {"op3_chat_format": oracles.CHAT, "op4_quality_rules": oracles.QUALITY}
+ORACLES: dict[str, str] = {"op3_chat_format": oracles.CHAT, "op4_quality_rules": oracles.QUALITY, "op13_ranked": oracles.RANKED}
