@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tablewash.llm.common import materialize
 
+#: Edges that one task of a round handles at least.
+EDGES_OF_TASK = 100_000
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of an edge; the root is the smallest node of the component.
@@ -25,14 +27,16 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         before = state
         if not state[0]:
             break
+        # No more tasks than the edges can fill: the driver keeps a record of each task of each round.
+        tasks = -(-state[0] // EDGES_OF_TASK)
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        parent = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(tasks)
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct().coalesce(tasks)
+        parent = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
         small = large.join(parent, "u").select(
             F.explode(F.when(F.col("v") == F.col("m"), F.array(F.struct("u", F.col("m").alias("v")))).otherwise(
-                F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))).alias("e")).select("e.*").distinct()
-        now = materialize(small)
+                F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))).alias("e")).select("e.*").coalesce(tasks).distinct()
+        now = materialize(small.coalesce(tasks))
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 

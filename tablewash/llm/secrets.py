@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewash.llm.common import fresh
+from tablewash.llm.common import fresh, let, materialize
 from tablewash.llm.labelled_findings import labelled_findings, labelled_values
 
 #: Labelled findings that the forest is trained from (and as many labelled values), its trees and their depth.
@@ -31,6 +32,8 @@ CANDIDATE = "|".join((
     r"(?<![A-Za-z0-9_\-])[A-Za-z0-9_\-]{2,}+\.[A-Za-z0-9_\-]{16,}+(?:\.[A-Za-z0-9_\-]++)*",
     r"[A-Za-z0-9+/_\-][A-Za-z0-9+/=_\-]{15,}"))
 BEFORE, AFTER = 40, 12
+#: Candidates whose lengths are summed up together.
+RUN = 64
 #: Pieces of words that texts and names are made of.
 DICTIONARY = (
     "tion ing the and ver sch ung keit heit lich ein ent ble ment que ción mente elle eau able ness less ight ough "
@@ -73,34 +76,43 @@ def _features(c: Column, before: Column, after: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """Every match of ``CANDIDATE`` but names, with start, length and features. The text is cut once
-    at the candidates, so a long text with many of them takes one pass. The characters before a
-    candidate are those of the whole text, whatever other candidates they belong to."""
+    at the candidates. A candidate's place is the sum of the lengths before it: of whole runs of
+    ``RUN`` candidates, then of those of its own run, so that the work per candidate is bounded. The
+    characters before a candidate are those of the whole text, whatever other candidates they belong to."""
     whole = F.coalesce(text, F.lit(""))
     found = F.regexp_extract_all(whole, F.lit(CANDIDATE), F.lit(0))
     gaps = F.split(whole, CANDIDATE, -1)
-    starts = lambda c, g: F.aggregate(
-        F.arrays_zip(c.alias("c"), F.slice(g, F.lit(1), F.size(c)).alias("g")),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.expr("cast(array() as array<struct<at:int,before:string>>)").alias("all")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["g"]) + F.length(x["c"])).alias("at"),
-            F.right(F.concat(s["tail"], F.right(x["g"], F.lit(BEFORE)), F.right(x["c"], F.lit(BEFORE))), F.lit(BEFORE)).alias("tail"),
-            F.array_append(s["all"], F.struct(
-                (s["at"] + F.length(x["g"])).alias("at"),
-                F.right(F.concat(s["tail"], F.right(x["g"], F.lit(BEFORE))), F.lit(BEFORE)).alias("before"))).alias("all")),
-        lambda s: s["all"])
+    total = lambda values, low, high: F.aggregate(
+        F.sequence(low, high), F.lit(0), lambda s, j: s + F.get(values, j))
+
+    def placed(p: Column) -> Column:
+        """With the length of each gap and its candidate, and of what is before each run."""
+        n = F.transform(p["c"], lambda c, i: F.length(c) + F.length(F.get(p["g"], i)))
+        return let(n, lambda n: let(
+            F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / RUN).cast("int")),
+                        lambda k: total(n, k * RUN, F.least((k + 1) * RUN, F.size(n)) - 1)),
+            lambda runs: F.struct(p["c"].alias("c"), p["g"].alias("g"), n.alias("n"), F.transform(
+                runs, lambda r, k: total(runs, F.lit(0), k) - r).alias("s"))))
+
+    def before(p: Column, i: Column) -> Column:
+        """Each piece before a candidate has a character at least, so a bounded number of them is enough."""
+        gap = F.get(p["g"], i)
+        pieces = F.transform(F.sequence(F.greatest(i - BEFORE, F.lit(0)), i - 1), lambda j: F.concat(
+            F.right(F.get(p["g"], j), F.lit(BEFORE)), F.right(F.get(p["c"], j), F.lit(BEFORE))))
+        return F.right(F.when((F.length(gap) >= BEFORE) | (i == 0), gap).otherwise(F.concat(F.array_join(pieces, ""), gap)), F.lit(BEFORE))
 
     def described(p: Column) -> Column:
         each = F.transform(p["c"], lambda c, i: F.struct(
-            c.alias("c"), F.get(p["s"], i)["at"].alias("at"), F.get(p["s"], i)["before"].alias("before"),
-            F.left(F.get(p["g"], i + 1), F.lit(AFTER)).alias("after")))
+            c.alias("c"),
+            (F.get(p["s"], F.floor(i / RUN).cast("int")) + total(p["n"], i - i % RUN, i) - F.length(c)).alias("at"),
+            before(p, i).alias("before"), F.left(F.get(p["g"], i + 1), F.lit(AFTER)).alias("after")))
         each = F.filter(each, lambda x: ~(x["c"].rlike(rf"^[A-Za-z0-9_\-]*{_NAME}[A-Za-z0-9_\-]*$") & x["after"].rlike(r"^[\"']?\]?\s{0,4}[=:]")))
         return F.transform(each, lambda x: F.struct(
             x["at"].alias("start"), F.length(x["c"]).alias("length"), x["c"].alias("candidate"),
             _features(x["c"], x["before"], x["after"]).alias("x")))
 
-    parts = F.transform(F.array(F.struct(found.alias("c"), gaps.alias("g"))), lambda p: F.struct(
-        p["c"].alias("c"), p["g"].alias("g"), starts(p["c"], p["g"]).alias("s")))
-    return F.when(whole.rlike(CANDIDATE), F.get(F.transform(parts, described), F.lit(0)))
+    parts = let(F.struct(found.alias("c"), gaps.alias("g")), lambda p: let(placed(p), described))
+    return F.when(whole.rlike(CANDIDATE), parts)
 
 
 def labelled_features(spark: SparkSession, examples: list[tuple[str, str, int]]) -> DataFrame:
@@ -111,27 +123,66 @@ def labelled_features(spark: SparkSession, examples: list[tuple[str, str, int]])
     return each.select(F.col("c.x").alias("x"), F.when(F.contains("c.candidate", "marked"), F.col("secret")).otherwise(0).cast("double").alias("label"))
 
 
-def train_forest(spark: SparkSession, findings: int = FINDINGS, trees: int = TREES, depth: int = DEPTH) -> str:
-    """A forest trained from ``findings`` labelled findings and as many labelled values, as SQL for the chance that the candidate with
-    features ``f.x`` is a secret. The training set is bounded, and its rows are in one partition, so
-    the same forest comes out everywhere."""
-    rows = labelled_features(spark, labelled_findings(findings) + labelled_values(findings)).coalesce(1)
-    model = RandomForestClassifier(
+@dataclass(frozen=True)
+class Forest:
+    """Trees of one depth as arrays: node i of a tree has the children 2 i + 1 and 2 i + 2, and a branch
+    that ends early goes on with equal leaves. ``feature`` and ``threshold`` hold the inner nodes of
+    one tree after the other, ``secret`` the leaves."""
+
+    depth: int
+    feature: tuple[int, ...]
+    threshold: tuple[float, ...]
+    secret: tuple[float, ...]
+
+    def chance(self, x: Column) -> Column:
+        """The chance that a candidate with features ``x`` is a secret: every tree is walked down step by
+        step, so the plan holds three arrays and a short expression, whatever the number of trees."""
+        inner, leaves = 2**self.depth - 1, 2**self.depth
+        trees = len(self.secret) // leaves
+        given = lambda kind, values: F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+        def walk(tree: Column) -> Column:
+            down = F.aggregate(
+                F.sequence(F.lit(1), F.lit(self.depth)), F.lit(0),
+                lambda node, _: node * 2 + 1 + (F.get(x, F.get(given("int", self.feature), tree * inner + node))
+                                                > F.get(given("double", self.threshold), tree * inner + node)).cast("int"))
+            return F.get(given("double", self.secret), tree * leaves + down - inner)
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(trees - 1)), F.lit(0.0), lambda s, tree: s + walk(tree)) / trees
+
+
+def train_forest(spark: SparkSession, findings: int = FINDINGS, trees: int = TREES, depth: int = DEPTH) -> Forest:
+    """A forest trained from ``findings`` labelled findings and as many labelled values. The training
+    set is bounded, and its rows are in one partition, so the same forest comes out everywhere."""
+    rows = labelled_features(spark, labelled_findings(findings) + labelled_values(findings))
+    # Written once, as the training reads it several times.
+    model = fit_model(materialize(rows.coalesce(1)), trees, depth)
+    feature, threshold, secret = [], [], []
+    for tree in model.trees:
+        nodes: dict[int, object] = {0: tree._java_obj.rootNode()}
+        for at in range(2 ** (depth + 1) - 1):
+            node = nodes[at]
+            if at >= 2**depth - 1:
+                harmless, leaf = node.impurityStats().stats()
+                secret.append(round(leaf / (harmless + leaf), 6))
+            elif node.subtreeDepth() == 0:
+                nodes[2 * at + 1] = nodes[2 * at + 2] = node
+                feature.append(0)
+                threshold.append(0.0)
+            else:
+                nodes[2 * at + 1], nodes[2 * at + 2] = node.leftChild(), node.rightChild()
+                feature.append(node.split().featureIndex())
+                threshold.append(node.split().threshold())
+    return Forest(depth, tuple(feature), tuple(threshold), tuple(secret))
+
+
+def fit_model(rows: DataFrame, trees: int, depth: int):
+    return RandomForestClassifier(
         featuresCol="v", labelCol="label", numTrees=trees, maxDepth=depth, seed=7, featureSubsetStrategy="onethird",
-    ).fit(rows.select(array_to_vector("x").alias("v"), "label"))
-    return "(" + " + ".join(_tree(t._java_obj.rootNode()) for t in model.trees) + f") / {trees}"
+    ).fit(rows.coalesce(1).select(array_to_vector("x").alias("v"), "label"))
 
 
-def _tree(node) -> str:
-    if node.subtreeDepth() == 0:
-        harmless, secret = node.impurityStats().stats()
-        return f"{secret / (harmless + secret):.6f}D"
-    split = node.split()
-    return (f"CASE WHEN f.x[{split.featureIndex()}] <= {split.threshold()!r}D THEN {_tree(node.leftChild())} "
-            f"ELSE {_tree(node.rightChild())} END")
-
-
-def find_secrets(df: DataFrame, text: str = "text", out: str = "findings", least: float = 0.5, forest: str | None = None) -> DataFrame:
+def find_secrets(df: DataFrame, text: str = "text", out: str = "findings", least: float = 0.5, forest: Forest | None = None) -> DataFrame:
     """``df`` with a column of its findings: (start, length, score) of each secret, in order; start
     counts code points from 0.
 
@@ -146,9 +197,10 @@ def find_secrets(df: DataFrame, text: str = "text", out: str = "findings", least
     """
     (found,) = fresh(df, "found")
     forest = forest or train_forest(df.sparkSession)
-    none = "cast(array() as array<struct<start:int,length:int,score:double>>)"
-    scored = F.expr(f"coalesce(filter(transform({found}, f -> struct(f.start, f.length, {forest} AS score)), s -> s.score >= {least}D), {none})")
-    return df.withColumn(found, candidates(F.col(text))).withColumn(out, scored).drop(found)
+    scored = F.transform(found, lambda f: F.struct(f["start"].alias("start"), f["length"].alias("length"), forest.chance(f["x"]).alias("score")))
+    none = F.expr("cast(array() as array<struct<start:int,length:int,score:double>>)")
+    kept = F.coalesce(F.filter(scored, lambda s: s["score"] >= least), none)
+    return df.withColumn(found, candidates(F.col(text))).withColumn(out, kept).drop(found)
 
 
 def redact(text: Column, findings: Column, mark: str = "[SECRET]") -> Column:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -198,3 +199,46 @@ def test_words_before_are_those_of_the_whole_text(spark):
     (row,) = spark.createDataFrame([(text,)], "text string").select(secrets.candidates(F.col("text")).alias("c")).collect()
     assert [x.candidate for x in row.c] == ["abcdefgh0123456789", "a" * 20, "b" * 20]
     assert row.c[0].x[secrets.FEATURES.index("secret_words")] == 1 and row.c[0].x[secrets.FEATURES.index("named")] == 1
+
+
+def test_candidates_stand_where_they_are_found(spark):
+    r = random.Random(2)
+    runs = ["".join(r.choice("abcdef0123456789") for _ in range(r.choice((16, 20, 40)))) for _ in range(300)]
+    text = "é " + " ".join(w + r.choice(("", ",", " the ", ' password = "x", ', "漢字")) for w in runs)
+    df = spark.createDataFrame([(text,)], "text string")
+    (row,) = df.select(secrets.candidates(F.col("text")).alias("c")).collect()
+    assert len(row.c) > 300 and [c.start for c in row.c] == sorted(c.start for c in row.c)
+    assert all(text[c.start : c.start + c.length] == c.candidate and c.length == len(c.candidate) for c in row.c)
+    named = secrets.FEATURES.index("named")
+    assert all(c.x[named] == 1 for c in row.c if c.candidate == "x")
+    plain = re.compile(r"[A-Za-z0-9+/_\-][A-Za-z0-9+/=_\-]{15,}")
+    assert {(m.start(), m.group()) for m in plain.finditer(text)} == {(c.start, c.candidate) for c in row.c if c.candidate != "x"}
+
+
+def test_time_grows_with_the_candidates_of_a_text(spark, forest):
+    def seconds(n):
+        r = random.Random(n)
+        text = " ".join(str(r.randrange(10**19, 10**20)) for _ in range(n))
+        df = spark.createDataFrame([(text,)], "text string")
+        at = time.time()
+        df.select(F.size(secrets.candidates(F.col("text")))).collect()
+        return time.time() - at
+
+    seconds(2000)
+    assert seconds(32_000) < 8 * max(1.0, seconds(8_000))
+
+
+def test_forest_gives_the_models_own_chances(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from tablewash.llm.labelled_findings import labelled_findings, labelled_values
+
+    forest = secrets.train_forest(spark, 300, 6, 5)
+    rows = secrets.labelled_features(spark, labelled_findings(300) + labelled_values(300)).coalesce(1).cache()
+    model = secrets.fit_model(rows, 6, 5)
+    from pyspark.ml.functions import array_to_vector
+
+    told = model.transform(rows.select("x", array_to_vector("x").alias("v")))
+    both = told.select(vector_to_array("probability")[1].alias("p"), forest.chance(F.col("x")).alias("q")).collect()
+    assert len(both) > 600 and max(abs(x.p - x.q) for x in both) < 1e-5
+    assert (forest.depth, len(forest.secret), len(forest.feature)) == (5, 6 * 32, 6 * 31)
