@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewash.llm.common import fresh, shingle_hashes, text_parts, word_hashes
+from tablewash.llm.common import fresh, materialize, shingle_hashes, text_parts, word_hashes
 
 WORDS, THRESHOLD = 5, 0.8
 BITS, RADIUS, PARTS = 64, 15, 4
 #: Windows of a class are as long as its longest item; its shortest is at most this much shorter.
 CLASS_RATIO = 1.15
 #: Items that are searched for at a time. A larger benchmark is searched for block by block.
-ITEMS_AT_ONCE = 4096
+ITEMS_AT_ONCE, BYTES_AT_ONCE = 2048, 1 << 20
 #: Words of one document that are held as votes at a time.
 HELD_WORDS = 1 << 15
 
@@ -42,10 +42,15 @@ class Class:
 
 
 class Index:
-    """What is searched for: items by class, with the weights of their shingles. A shingle weighs 1
-    divided by the number of items that have it, so that phrases of many items count little."""
-
-    def __init__(self, ids: list, texts: list[str], radius: int = RADIUS, words: int = WORDS, threshold: float = THRESHOLD):
+    """What is searched for: items by class, with the weights of their shingles. A shingle of an item
+    weighs 1 divided by the number of different items that have it, so that phrases of many items count
+    little; any other shingle of a window weighs 1. ``shared`` tells for each item which of its shingles other
+    items have too, and how many have them; without it they are counted among the items given."""
+
+    def __init__(
+        self, ids: list, texts: list[str], radius: int = RADIUS, words: int = WORDS, threshold: float = THRESHOLD,
+        shared: list[list[tuple[int, int]]] | None = None,
+    ):
         self.ids, self.radius, self.words = ids, radius, words
         column = pa.array(texts, pa.string())
         self.shingles, self.counts, sizes, prints = [], [], [], []
@@ -58,10 +63,18 @@ class Index:
                 self.counts.append(counts)
                 sizes.append(int(e - s))
                 prints.append(fingerprint(all_of_it))
-        known, items = np.unique(np.concatenate([*self.shingles, np.zeros(0, np.uint64)]), return_counts=True)
-        self.known, self.weight = known, 1.0 / items
+        if shared is None:
+            once = dict(zip(texts, self.shingles)).values()
+            known, items = np.unique(np.concatenate([*once, np.zeros(0, np.uint64)]), return_counts=True)
+            self.weights = [1.0 / items[np.searchsorted(known, k)] for k in self.shingles]
+        else:
+            self.weights = [np.ones(len(k)) for k in self.shingles]
+            for kinds, weights, told in zip(self.shingles, self.weights, shared):
+                if told:
+                    kind, items = np.array(told, np.int64).T
+                    weights[np.searchsorted(kinds, kind.copy().view(np.uint64))] = 1.0 / items
         self.sizes, self.prints = np.array(sizes), np.array(prints, np.uint64)
-        self.totals = [float((n * self.weights(k)).sum()) for k, n in zip(self.shingles, self.counts)]
+        self.totals = [float((n * w).sum()) for w, n in zip(self.weights, self.counts)]
         self.classes: list[Class] = []
         for i in np.argsort(-self.sizes, kind="stable"):
             n = int(self.sizes[i])
@@ -81,7 +94,7 @@ class Index:
         all of them, so the item's most common ones are left out as long as they weigh less than that."""
         kinds, items = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for i in np.flatnonzero(self.sizes >= self.words):
-            weight = self.weights(self.shingles[i])
+            weight = self.weights[i]
             order = np.argsort(weight, kind="stable")
             kept = order[np.cumsum((self.counts[i] * weight)[order]) >= (threshold - 1e-9) * self.totals[i]]
             kinds.append(self.shingles[i][kept])
@@ -135,17 +148,14 @@ class Index:
         pairs = pairs[np.diff(pairs, prepend=-1) > 0]
         return pairs // len(c.items), pairs % len(c.items)
 
-    def weights(self, shingles: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
-        return np.where(self.known[at] == shingles, self.weight[at], 1.0)
-
     def similarity(self, item: int, shingles: np.ndarray) -> float:
         """Weighted Jaccard similarity: sum of w min(a, b) / sum of w max(a, b) over shingle counts."""
         kinds, counts = np.unique(shingles, return_counts=True)
-        own, own_counts = self.shingles[item], self.counts[item]
-        common, i, j = np.intersect1d(kinds, own, assume_unique=True, return_indices=True)
-        least = (np.minimum(counts[i], own_counts[j]) * self.weights(common)).sum()
-        return float(least / ((counts * self.weights(kinds)).sum() + (own_counts * self.weights(own)).sum() - least))
+        _, i, j = np.intersect1d(kinds, self.shingles[item], assume_unique=True, return_indices=True)
+        weights = np.ones(len(kinds))
+        weights[i] = self.weights[item][j]
+        least = (np.minimum(counts[i], self.counts[item][j]) * weights[i]).sum()
+        return float(least / ((counts * weights).sum() + self.totals[item] - least))
 
     def best_place(
         self, item: int, shingles: np.ndarray, low: int, high: int, end: int, threshold: float
@@ -159,8 +169,9 @@ class Index:
         region = shingles[low : stop + size - 1]
         own = self.shingles[item]
         at = np.minimum(np.searchsorted(own, region), len(own) - 1)
-        weight = self.weights(region)
-        sums = np.cumsum(np.concatenate([np.zeros((2, 1)), np.stack([weight, weight * (own[at] == region)])], axis=1), axis=1)
+        same = own[at] == region
+        weight = np.where(same, self.weights[item][at], 1.0)
+        sums = np.cumsum(np.concatenate([np.zeros((2, 1)), np.stack([weight, weight * same])], axis=1), axis=1)
         first = np.arange(stop - low)
         all_of_it, common = sums[:, np.minimum(first + size, len(region))] - sums[:, np.minimum(first, len(region))]
         # With repeated shingles this is too large, never too small.
@@ -315,8 +326,10 @@ def find_passages(
     that hold one of the item's anchors are verified too; no place that reaches ``threshold`` lacks one.
     Documents are not shuffled, and their neighbours in a batch only share the arrays.
 
-    The items go to every task, at most ``ITEMS_AT_ONCE`` of them at a time: a larger benchmark is
-    searched for in several passes whose results are united, so the size sent is bounded.
+    The items go to every task, at most ``ITEMS_AT_ONCE`` of them and ``BYTES_AT_ONCE`` bytes of text at
+    a time (or one item): a larger benchmark is searched for in several passes whose results are united.
+    How many items have a shingle is counted over the whole benchmark before, so results do not depend
+    on the passes.
 
     NULL or empty texts, in either table, match nothing. An item or a document of fewer words than
     a shingle is one shingle. Repeated documents and items give rows each. Empty tables give an empty
@@ -329,12 +342,12 @@ def find_passages(
     schema = docs.select(*kept).withColumns({
         item: F.lit(None).cast(benchmark.schema[item].dataType), "similarity": F.lit(0.0), "first_word": F.lit(0).cast("long")}).schema
     out = None
-    for sent in _sent(benchmark, item, item_text):
+    for sent in _sent(benchmark, item, item_text, words):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = None
             for batch in batches:
-                index = index or Index(*sent.value, radius=radius, words=words, threshold=threshold)
+                index = index or Index(*sent.value[:2], radius=radius, words=words, threshold=threshold, shared=sent.value[2])
                 found = list(_found(batch, index, threshold))
                 if found:
                     row, i, similarity, word = zip(*found)
@@ -355,12 +368,12 @@ def without_passages(
     """The rows of ``docs`` in which ``find_passages`` finds no item, with all their columns."""
     (whole,) = fresh(docs, "whole_text")
     out = docs
-    for sent in _sent(benchmark, item, item_text):
+    for sent in _sent(benchmark, item, item_text, words):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = None
             for batch in batches:
-                index = index or Index(*sent.value, radius=radius, words=words, threshold=threshold)
+                index = index or Index(*sent.value[:2], radius=radius, words=words, threshold=threshold, shared=sent.value[2])
                 clean = np.ones(batch.num_rows, bool)
                 clean[[row for row, *_ in _found(batch, index, threshold)]] = False
                 yield batch.select(range(batch.num_columns - 1)).filter(pa.array(clean))
@@ -369,14 +382,40 @@ def without_passages(
     return out
 
 
-def _sent(benchmark: DataFrame, item: str, item_text: str) -> list:
-    """The items, broadcast in parts of about half of ``ITEMS_AT_ONCE``; one empty part if there are none."""
-    items = benchmark.select(F.col(item), F.lower(F.coalesce(F.col(item_text), F.lit(""))).alias("item_text"))
-    parts, out = max(1, -(-items.count() // (ITEMS_AT_ONCE // 2))), []
-    for k in range(parts):
-        rows = items.where(F.pmod(F.xxhash64(item, "item_text"), F.lit(parts)) == k).collect()
-        out.append(benchmark.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows])))
-    return out
+def _shared_shingles(items: DataFrame, words: int) -> DataFrame:
+    """For each item (``no``) its shingles that different items have too, with the number of items that have them."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, offsets in text_parts(batch.column(1)):
+                hashes, starts = word_hashes(data, offsets)
+                kinds = [np.unique(shingle_hashes(hashes[s:e], words)) for s, e in zip(starts, starts[1:])]
+                no = np.repeat(batch.column(0).to_numpy()[first : first + len(kinds)], list(map(len, kinds)))
+                yield pa.RecordBatch.from_arrays([pa.array(no), pa.array(np.concatenate(kinds).view(np.int64))], ["no", "kind"])
+
+    kinds = items.select("no", "item_text").mapInArrow(cut, "no long, kind long")
+    # Repeated items count once, or an edited passage of theirs would weigh too little.
+    once = items.groupBy("item_text").agg(F.min("no").alias("no")).select("no", "item_text").mapInArrow(cut, "no long, kind long")
+    often = once.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return kinds.join(often, "kind").groupBy("no").agg(F.collect_list(F.struct("kind", "n")).alias("shared"))
+
+
+def _sent(benchmark: DataFrame, item: str, item_text: str, words: int) -> list:
+    """The items, broadcast in parts of bounded size; one empty part if there are none. The driver
+    holds one part at a time."""
+    items = benchmark.select(F.col(item).alias("id"), F.lower(F.coalesce(F.col(item_text), F.lit(""))).alias("item_text"))
+    items = materialize(items.withColumn("no", F.monotonically_increasing_id()))
+    ready = items.join(_shared_shingles(items, words), "no", "left").select("id", "item_text", "shared")
+    send, out, part, size = benchmark.sparkSession.sparkContext.broadcast, [], ([], [], []), 0
+    for row in ready.toLocalIterator():
+        own = len(row.item_text.encode())
+        if part[0] and (len(part[0]) >= ITEMS_AT_ONCE or size + own > BYTES_AT_ONCE):
+            out.append(send(part))
+            part, size = ([], [], []), 0
+        for column, value in zip(part, (row.id, row.item_text, [tuple(x) for x in row.shared or ()])):
+            column.append(value)
+        size += own
+    return [*out, send(part)]
 
 
 def _found(batch: pa.RecordBatch, index: Index, threshold: float) -> Iterator[tuple[int, int, float, int]]:

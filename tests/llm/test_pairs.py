@@ -52,6 +52,13 @@ def test_archive_edges(spark):
     assert archive(spark, [], 100)[0] == {}
 
 
+def test_splits_are_read_by_many_tasks(spark):
+    rows = [(i, "u", f"{i}" * 3000, None) for i in range(60)]
+    files = warc.write_warc(spark.createDataFrame(rows, PAGES).repartition(2), compress=False)
+    read = warc.read_warc(spark, files, 10_000).withColumn("task", F.spark_partition_id())
+    assert read.count() == 60 and read.select("task").distinct().count() > 5
+
+
 def test_broken_archive_raises(spark):
     _, files = archive(spark, [(i, "u", f"{i}" * 3000, None) for i in range(6)], 500, compress=False)
     path = files.first().path.removeprefix("file://").removeprefix("file:")
@@ -241,6 +248,33 @@ def test_passages_at_the_threshold_across_parts(monkeypatch):
     assert {(t, i): s for t, i, s, _ in decontaminate.search(index, hashes, offsets, 0.8)} == pytest.approx(wanted)
 
 
+def test_results_do_not_depend_on_the_parts(spark, monkeypatch):
+    r = random.Random(9)
+    word = lambda: f"w{r.randint(0, 3000)}"
+    phrase, items, docs = [word() for _ in range(12)], [], []
+    for i in range(24):
+        items.append([*phrase, *(word() for _ in range(18))])
+        passage = list(items[i])
+        passage[3] = "edited"
+        docs.append((i, " ".join([*(word() for _ in range(20)), *passage, *(word() for _ in range(20))])))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(24, " ".join(items[0]))], "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    results = []
+    for at_once, size in ((2048, 1 << 20), (13, 1 << 20), (2, 1 << 20), (2048, 100)):
+        monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", at_once)
+        monkeypatch.setattr(decontaminate, "BYTES_AT_ONCE", size)
+        found = decontaminate.find_passages(df, bench).collect()
+        results.append(sorted((x.doc_id, x.item_id, round(x.similarity, 9), x.first_word) for x in found))
+        assert decontaminate.without_passages(df, bench).count() == 0
+    assert len(results[0]) == 25 and all(x == results[0] for x in results)
+    index = decontaminate.Index(list(range(25)), [" ".join(w) for w in [*items, items[0]]])
+    texts = [np.frombuffer(t.encode(), np.uint8) for _, t in docs]
+    for d, t in enumerate(texts):
+        h = word_hashes(t, np.array([0, len(t)]))[0]
+        best = max(index.similarity(d, shingle_hashes(h[q : q + 30], 5)) for q in range(len(h) - 29))
+        assert [x[2] for x in results[0] if x[:2] == (d, d)] == [pytest.approx(best)]
+
+
 def test_multi_index_is_whole():
     r = np.random.default_rng(5)
     index = decontaminate.Index(list(range(30)), [" ".join(f"w{x}" for x in r.integers(0, 500, 20)) for _ in range(30)])
@@ -286,10 +320,10 @@ def test_pipeline_on_a_fixture(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", [n for n in sorted(queries.QUERIES) if n.split("_")[0] not in ("op11", "op12", "op13")])
 def test_query(spark, name):
     df = queries.QUERIES[name](spark, FOLDER)
-    assert len(set(df.columns)) == len(df.columns) and df.count() > (-1 if name.startswith("op5") else 0)
+    assert len(set(df.columns)) == len(df.columns) and df.count() > 0
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -297,7 +331,7 @@ def test_queries_equal_their_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     from check_oracles import compare
 
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         duckdb.sql(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     for name, sql in queries.ORACLES.items():
         df = queries.QUERIES[name](spark, FOLDER)
