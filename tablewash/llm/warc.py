@@ -108,6 +108,10 @@ def write_warc(
     return materialize(told.mapInArrow(write, "path string, bytes long, records long"))
 
 
+#: Tasks that read archives; beyond, a task reads several splits.
+MOST_TASKS = 50_000
+
+
 class Window:
     """Bytes of a file from ``start`` on, read when they are asked for."""
 
@@ -121,7 +125,8 @@ class Window:
         have = self.start + len(self.data)
         if end > have:
             self.file.seek(have)
-            self.data += self.file.read(min(max(end - have, 1 << 20), self.size - have))
+            # What is held is doubled, so that the bytes of a large record are copied a few times only.
+            self.data += self.file.read(min(max(end - have, len(self.data), 1 << 20), self.size - have))
         return self.data
 
     def drop(self, before: int) -> None:
@@ -217,7 +222,7 @@ def record_starts(spark, files: DataFrame, split: int = SPLIT) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([row["path"]] * len(found)), pa.array(offset), pa.array(leave)], ["path", "offset", "leave"])
 
-    links = materialize(splits.repartition("path", "start").mapInArrow(scan, "path string, offset long, leave long"))
+    links = materialize(splits.repartition(_tasks(files, split), "path", "start").mapInArrow(scan, "path string, offset long, leave long"))
     reached = files.select("path", F.lit(0).cast("long").alias("offset"))
     for k in range(math.ceil(math.log2(max(1, -(-most // split)))) + (most > split)):
         step = reached.join(links, ["path", "offset"]).select("path", F.col("leave").alias("offset"))
@@ -233,6 +238,13 @@ def record_starts(spark, files: DataFrame, split: int = SPLIT) -> DataFrame:
     return reached.join(files.select("path", "bytes"), "path").where("offset < bytes").select("path", "bytes", "offset")
 
 
+def _tasks(files: DataFrame, split: int) -> int:
+    """As many tasks as splits: a split's row is tiny but stands for megabytes, so a number is given,
+    which adaptive execution does not merge."""
+    splits = files.agg(F.sum(F.ceil(F.greatest("bytes", F.lit(1)) / split))).first()[0] or 1
+    return int(min(splits, MOST_TASKS))
+
+
 def read_warc(spark, files: DataFrame, split: int = SPLIT) -> DataFrame:
     """All records of ``files`` (``path``, ``bytes``): ``path``, ``offset``, ``record_type``, ``record_id``,
     ``url``, ``payload`` (NULL in revisits), ``payload_bytes``, ``payload_digest`` and ``refers_to``.
@@ -262,7 +274,7 @@ def read_warc(spark, files: DataFrame, split: int = SPLIT) -> DataFrame:
             yield _records(held)
 
     starts = record_starts(spark, files, split)
-    return starts.repartition("path", "offset").mapInArrow(read, ", ".join(f"{k} {v}" for k, v in FIELDS.items()))
+    return starts.repartition(_tasks(files, split), "path", "offset").mapInArrow(read, ", ".join(f"{k} {v}" for k, v in FIELDS.items()))
 
 
 FIELDS = {"path": "string", "offset": "long", "record_type": "string", "record_id": "string", "url": "string",
