@@ -7,18 +7,17 @@ import re
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
-from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewash.llm.common import fresh, map_batches
+from tablewash.llm.common import Remembered, fresh, map_batches
 
 #: Texts of more characters are encoded in overlapping pieces.
 PIECE, OVERLAP = 65_536, 256
-#: Kept entries of a word cache; a full cache drops its older half. It only saves time.
-CACHED = 1_400_000
+#: Bytes a word cache takes, about; a full cache drops its older half. It only saves time.
+CACHED = 300 << 20
 
 
 @lru_cache(maxsize=4)
@@ -39,13 +38,13 @@ def _plain_letters(word: str) -> bool:
     return word.isalpha() and (word.isascii() or word.lower().isalpha() and unicodedata.is_normalized("NFC", word))
 
 
-class WordCache(dict):
+class WordCache(Remembered):
     """What the library makes of a word, encoded when first asked for and then remembered. ``make``
     turns the ids of a word into what is kept; what it gives for two parts is added up. A word of
     letters and one sign behind them is put together from its parts, which many words share."""
 
     def __init__(self, path: str, make: Callable[[list[int]], object]):
-        super().__init__()
+        super().__init__(CACHED)
         self.tokenizer, self.make = load_tokenizer(path), make
         normalizer = self.tokenizer.normalizer
         self.folds = normalizer is not None and normalizer.normalize_str("A") == "a"
@@ -60,10 +59,10 @@ class WordCache(dict):
             value = self[word[:-1]] + self[body[-1]]
         else:
             value = self.make(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        if len(self) >= CACHED:
-            for old in list(islice(self, CACHED // 2)):
-                del self[old]
-        self[word] = value
+        if len(word) <= self.longest:
+            if self.held > self.limit:
+                self.trim()
+            self.learn(word, value)
         return value
 
 
