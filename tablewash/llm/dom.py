@@ -9,9 +9,10 @@ from html.parser import HTMLParser
 BLOCKS = frozenset(
     "html body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption section article main "
     "aside nav header footer form fieldset figure figcaption blockquote pre address details summary center dialog menu".split())
-#: Elements whose text is never read.
-SILENT = frozenset("script style noscript template svg math iframe object select option textarea button head title canvas audio video".split())
-IN_HEAD = frozenset("title meta link base style script noscript".split())
+#: Elements whose text is never read: code, the head, and fields of forms.
+SILENT = frozenset("script style template head title select option textarea button".split())
+FIELDS = frozenset("select option textarea button".split())
+IN_HEAD = frozenset("title meta link base style script noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: A start tag ends open elements of these kinds, up to the element after the bar.
 ENDS = {
@@ -54,6 +55,7 @@ class Page(HTMLParser):
         self.linked, self.depth = [], []
         self.open: list[tuple[str, int]] = []  # block elements: tag, node
         self.silent: list[str] = []
+        self.inner: list[str] = []  # block elements inside a silent one
         self.links, self.run, self.run_linked = 0, [], 0
         self._add("other", -1, ())
         self.feed(html)
@@ -81,9 +83,12 @@ class Page(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self.silent:
-            if self.silent[-1] == "head" and tag not in IN_HEAD:
-                self.silent.pop()
+            if self.silent[-1] == "head" and tag not in IN_HEAD or self.silent[0] in FIELDS and tag in BLOCKS:
+                # What cannot be inside ends what was not closed.
+                self.silent, self.inner = [], []
             else:
+                if tag in BLOCKS:
+                    self.inner.append(tag)
                 if tag in SILENT and tag not in VOID:
                     self.silent.append(tag)
                 return
@@ -127,9 +132,17 @@ class Page(HTMLParser):
         if tag in SILENT:
             if tag in self.silent:
                 del self.silent[len(self.silent) - 1 - self.silent[::-1].index(tag) :]
-        elif self.silent:
+                self.inner = self.inner if self.silent else []
             return
-        elif tag == "a":
+        if self.silent:
+            if tag in self.inner:
+                del self.inner[len(self.inner) - 1 - self.inner[::-1].index(tag) :]
+                return
+            if not any(t == tag for t, _ in self.open):
+                return
+            # The end of an element around it ends what was not closed.
+            self.silent, self.inner = [], []
+        if tag == "a":
             self.links = 0
         elif tag in BLOCKS:
             self._flush()
