@@ -16,7 +16,8 @@ INFINITY_PATTERN = r"(?i)^\s*[+-]?inf(inity)?\s*$"
 
 # Date spellings as (shape, parse pattern), tried in this order. A cheap shape
 # test comes first so that no parser is entered for a cell it cannot read. Month-first wins
-# over day-first when both fit. Two digits of a year are of 2000 to 2099.
+# over day-first when both fit. Two digits of a year are of the century that brings it nearest:
+# less than AHEAD years ahead of today, or else a hundred years before.
 _WORD = "[A-Za-z]{3,9}"
 DATE_SHAPES = (
     (r"\d{4}-\d{1,2}-\d{1,2}", "yyyy-M-d"),
@@ -38,10 +39,14 @@ DATE_SHAPES = (
     (r"\d{1,2}\.\d{1,2}\.\d{4}", "d.M.yyyy"),
     (r"\d{1,2}/\d{1,2}/\d{2}", "M/d/yy"),
     (r"\d{1,2}/\d{1,2}/\d{2}", "d/M/yy"),
+    (r"\d{1,2}-[A-Za-z]{3}-\d{2}", "d-MMM-yy"),
+    (r"[A-Za-z]{3} \d{4}", "MMM yyyy"),
+    (rf"{_WORD} \d{{4}}", "MMMM yyyy"),
     (r"(1[789]|2[01])\d{2}", "yyyy"),
 )
 #: A time of day behind a date, and a zone behind that; a moment with a zone is turned to UTC.
-TIME_OF_DAY = r"[ T](\d{1,2}:\d{2}(?::\d{2}(?:[.]\d{1,6})?)?)"
+TIME_OF_DAY = r"[ T](\d{1,2}:\d{2}(?::\d{2}(?:[.]\d{1,6})?)?(?: ?[AaPp][Mm])?)"
+AHEAD = 50
 ZONE = r" ?(Z|[+-]\d{2}:?\d{2})"
 
 
@@ -91,6 +96,12 @@ def to_int(c: Column, dtype: T.DataType, on_fraction: str = "error") -> Column:
     )
 
 
+def _in_century(moment: Column, pattern: str) -> Column:
+    if pattern.count("y") != 2:
+        return moment
+    return F.when(F.year(moment) >= F.year(F.current_date()) + AHEAD, moment - F.make_ym_interval(F.lit(100))).otherwise(moment)
+
+
 def to_timestamp_mixed(c: Column, dtype: T.DataType) -> Column:
     """A timestamp read cell by cell from the known spellings, or NULL."""
     if isinstance(dtype, T.TimestampType):
@@ -106,6 +117,10 @@ def to_timestamp_mixed(c: Column, dtype: T.DataType) -> Column:
     clock = F.regexp_extract(cell, TIME_OF_DAY + rf"(?:{ZONE})?$", 1)
     zone = F.regexp_extract(cell, TIME_OF_DAY + rf"(?:{ZONE})?$", 2)
     date = F.coalesce(*[
-        F.when(day.rlike(f"^{shape}$"), F.try_to_timestamp(day, F.lit(pattern))) for shape, pattern in DATE_SHAPES])
+        F.when(day.rlike(f"^{shape}$"), _in_century(F.try_to_timestamp(day, F.lit(pattern)), pattern)) for shape, pattern in DATE_SHAPES])
+    # Of twelve hours: 12 AM is 0, and PM adds 12 to all but 12. Hours beyond 12 have no half of the day.
+    half, hour = F.lower(F.right(clock, F.lit(2))), F.regexp_extract(clock, r"^\d{1,2}", 0).cast("int")
+    twelve = F.when(hour.between(1, 12), F.format_string("%02d", hour % 12 + F.when(half == "pm", 12).otherwise(0)))
+    clock = F.when(half.isin("am", "pm"), F.concat(twelve, F.regexp_extract(clock, r"(:[\d:.]+)", 1))).otherwise(clock)
     timed = F.concat(F.date_format(date, "yyyy-MM-dd"), F.lit(" "), clock, F.regexp_replace(zone, r"(\d{2})(\d{2})$", "$1:$2"))
     return F.when(cell.rlike(rf"\d{behind}"), F.when(clock == "", date).otherwise(timed.try_cast("timestamp")))

@@ -28,13 +28,21 @@ def lookup_fill(
     df: DataFrame, column: str, fk: str, lookup: DataFrame, key: str, value: str, order_by: Sequence[str]
 ) -> DataFrame:
     """Fill missing cells of ``column`` from ``lookup``. For a repeated key the first row in
-    ``order_by`` counts, even if its value is missing."""
+    ``order_by`` counts, even if its value is missing; without an order a repeated key fails the job,
+    as there is no first row."""
     require_columns(df, column, fk)
     require_columns(lookup, key, value, *order_by)
-    place = F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)
+    rows = lookup.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key"))
+    if order_by:
+        place = F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)
+        hits = rows.agg(F.min_by(F.struct(F.col(value).alias("v")), place).alias("__hit"))
+    else:
+        problem = F.concat(F.lit("no order is given for the rows that share the key "), F.col("__key").cast("string"))
+        hit = F.struct(F.col(value).alias("v"))
+        hits = rows.agg(F.any_value(hit).alias("__one"), F.count(F.lit(1)).alias("__n")).select(
+            "__key", F.when(F.col("__n") == 1, F.col("__one")).otherwise(F.raise_error(problem)).alias("__hit"))
     first = (
-        lookup.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key"))
-        .agg(F.min_by(F.struct(F.col(value).alias("v")), place).alias("__hit"))
+        hits
         .select("__key", F.col("__hit.v").alias("__value"), F.lit(0).alias("__zero"))
     )
     asks = F.col(column).isNull() & F.col(fk).isNotNull()

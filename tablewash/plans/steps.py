@@ -188,7 +188,7 @@ def _link_step(tables: TableSet, name: str, step: Step) -> DataFrame:
     child, parent = tables[name], tables[step.lookup_table]
     if step.action_type == "validate_foreign_key":
         return relate.enforce_fk(child, step.foreign_key_column, parent, step.lookup_key_column)
-    order = tables.order_by.get(step.lookup_table) or (step.lookup_key_column, step.lookup_value_column)
+    order = tables.order_by.get(step.lookup_table) or ()
     return relate.lookup_fill(
         child, step.column, step.foreign_key_column, parent,
         step.lookup_key_column, step.lookup_value_column, order)

@@ -13,6 +13,7 @@ from tablewash.errors import CleaningError, require_columns
 from tablewash.functions.parse import missing_nan, to_float
 from tablewash.functions.text import null_tokens
 from tablewash.functions.typing import string_columns
+from tablewash.sources.quoted import OPTIONS, read_quoted
 
 
 @dataclass(frozen=True)
@@ -61,15 +62,16 @@ class TableSet(Mapping[str, DataFrame]):
 
 
 def read_table(
-    spark: SparkSession, path: str, schema: str | None = None, infer: bool = False, one_line: bool = False
+    spark: SparkSession, path: str, schema: str | None = None, infer: bool = False, one_line: bool = False,
+    many_tasks: bool = False,
 ) -> DataFrame:
     """A CSV file or folder with a header line. All cells are read as text and the usual "not
     available" tokens become NULL; ``infer`` then gives columns of nothing but numbers or
     booleans their type, from one pass over the whole table. With a ``schema`` (DDL) the columns
     are parsed to its types instead, and cells that do not fit become NULL. Quoted cells may hold
-    line breaks; where no record does, ``one_line`` lets a large file be read by many tasks."""
-    reader = spark.read.option("header", True).option("multiLine", not one_line).option("quote", '"').option("escape", '"')
-    raw = reader.csv(path)
+    line breaks; where no record does, ``one_line`` lets a large file be read by many tasks, and
+    ``many_tasks`` does so where records do, at the price of a second pass over the text."""
+    raw = read_quoted(spark, path) if many_tasks else spark.read.options(header=True, multiLine=not one_line, **OPTIONS).csv(path)
     df = raw.select(*[null_tokens(F.col(c)).alias(c) for c in raw.columns])
     if schema is not None:
         wanted = T.StructType.fromDDL(schema)

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tablewash.operators import cells, fills, quality, rows
+from tablewash.operators import cells, diff, fills, quality, rows
 from tablewash.plans.steps import run_steps
 from tablewash.session import scratch_dir
 from tablewash.sources.tables import TableSet, read_table
@@ -49,6 +49,43 @@ def src_quoted_text(spark, folder):
     return read_table(spark, path, infer=True).select("doc_id", F.md5("text").alias("text_md5"), "big")
 
 
+@query("src_quoted_many_tasks", """
+SELECT CAST(doc_id AS BIGINT) AS doc_id, md5(text) AS text_md5, 1234567890123456000 + doc_id AS big FROM documents WHERE text <> ''""")
+def src_quoted_many_tasks(spark, folder):
+    path = f"{scratch_dir(spark)}/csv-{uuid.uuid4().hex}"
+    docs = table(spark, folder, "documents").where("text <> ''").selectExpr("doc_id", "text", "1234567890123456000 + doc_id AS big")
+    docs.write.csv(path, header=True, quoteAll=True, escape='"', lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return read_table(spark, path, infer=True, many_tasks=True).select("doc_id", F.md5("text").alias("text_md5"), "big")
+
+
+_DIFF = """
+WITH lowest AS (SELECT min(o_orderkey) AS k FROM orders),
+old AS (SELECT CASE WHEN o_orderkey <> (SELECT k FROM lowest) THEN o_orderkey END AS k, o_orderstatus AS status,
+  CASE WHEN o_orderkey % 4 <> 0 THEN o_custkey END AS cust FROM orders),
+new AS (SELECT k, CASE WHEN k % 300 = 0 THEN 'X' ELSE status END AS status, CASE WHEN k IS NULL OR k % 200 = 0 THEN 7 ELSE cust END AS cust
+  FROM old WHERE k IS NULL OR k % 500 <> 0
+  UNION ALL SELECT -k, status, cust FROM old WHERE k % 700 = 0)"""
+
+
+@query("diff_rows", _DIFF + """,
+told AS (
+  SELECT coalesce(o.k, n.k) AS k, CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'removed' ELSE 'changed' END AS change,
+    unnest(['status', 'cust']) AS "column",
+    unnest([CASE WHEN o.h THEN coalesce(o.status, '__NA__') END, CASE WHEN o.h THEN coalesce(CAST(o.cust AS VARCHAR), '__NA__') END]) AS old_value,
+    unnest([CASE WHEN n.h THEN coalesce(n.status, '__NA__') END, CASE WHEN n.h THEN coalesce(CAST(n.cust AS VARCHAR), '__NA__') END]) AS new_value
+  FROM (SELECT *, true AS h FROM old) o FULL OUTER JOIN (SELECT *, true AS h FROM new) n ON o.k IS NOT DISTINCT FROM n.k)
+SELECT * FROM told WHERE old_value IS DISTINCT FROM new_value""")
+def diff_rows(spark, folder):
+    orders = table(spark, folder, "orders")
+    least = orders.agg(F.min("o_orderkey")).first()[0]
+    old = orders.selectExpr(
+        f"CASE WHEN o_orderkey <> {least} THEN o_orderkey END AS k", "o_orderstatus AS status",
+        "CASE WHEN o_orderkey % 4 <> 0 THEN o_custkey END AS cust")
+    kept = old.where("k IS NULL OR k % 500 <> 0").selectExpr(
+        "k", "CASE WHEN k % 300 = 0 THEN 'X' ELSE status END AS status", "CASE WHEN k IS NULL OR k % 200 = 0 THEN 7 ELSE cust END AS cust")
+    return diff.diff_rows(old, kept.union(old.where("k % 700 = 0").selectExpr("-k AS k", "status", "cust")), ["k"])
+
+
 @query("cell_to_int_large", """
 SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 9007199254740993 + o_orderkey WHEN 1 THEN 1234567890123456789 ELSE o_orderkey END AS n FROM orders""")
 def cell_to_int_large(spark, folder):

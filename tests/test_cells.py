@@ -96,3 +96,13 @@ def test_normalize(column):
 
 def test_currency(column):
     assert read(cells.clean_currency(column(["$1,234.56", "7", "", None], "string"), "c")) == [1234.56, 7.0, None, None]
+
+
+def test_dates_as_the_usual_reader_takes_them(column):
+    import pandas as pd
+
+    spelled = ["7/4/99", "7/4/68", "7/4/69", "7/4/2020 3:04 PM", "7/4/2020 12:04 am", "2020-07-04 12:30:15 PM", "Jan 2020", "March 1999",
+               "04-Jul-99", "7/4/2020 13:04 PM", "4 Jul 2021 9:00am"]
+    want = [pd.to_datetime(x, errors="coerce", format="mixed") for x in spelled[:9]] + [None, pd.Timestamp("2021-07-04 09:00")]
+    got = read(cells.to_timestamp_mixed(column(spelled, "string"), "c"))
+    assert got == [None if w is None or w is pd.NaT else w.to_pydatetime() for w in want]
