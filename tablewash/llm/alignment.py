@@ -73,6 +73,28 @@ def _summed(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return key[first], np.add.reduceat(weight[order], first)
 
 
+class Growing:
+    """An array that grows at its end; beyond the range of its type it raises."""
+
+    def __init__(self, dtype, *shape: int):
+        self.held, self.size = np.zeros((1024, *shape), dtype), 0
+
+    def __len__(self) -> int:
+        return self.size
+
+    def append(self, values: np.ndarray) -> None:
+        if len(values) and int(values.max()) > np.iinfo(self.held.dtype).max:
+            raise OverflowError(f"a piece of text with {values.max()} tokens or links")
+        if self.size + len(values) > len(self.held):
+            more = np.zeros((max(len(values), len(self.held) // 2), *self.held.shape[1:]), self.held.dtype)
+            self.held = np.concatenate([self.held, more])
+        self.held[self.size : self.size + len(values)] = values
+        self.size += len(values)
+
+    def all(self) -> np.ndarray:
+        return self.held[: self.size]
+
+
 class Aligner:
     """Aligns pieces of text and remembers them. A text is cut before single spaces between two other
     characters: there a token of either tokenizer ends, so no group reaches across."""
@@ -108,14 +130,14 @@ class Aligner:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.texts: list[bytes | None] = []
-        self.measures = [np.zeros((0, 4), np.int64)]
-        self.codes, self.times, self.counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        self.measures, self.starts, self.counts = Growing(np.int32, 4), Growing(np.int64), Growing(np.int32)
+        self.codes, self.times = Growing(np.uint32), Growing(np.int32)
         self.held = 0
 
     def learn(self, pieces: list[str]) -> None:
         """Align distinct new pieces, each a space and what follows it."""
         raw = [p.encode() for p in pieces]
-        a = [e.ids for e in self.a.encode_batch(pieces, add_special_tokens=False)]
+        a = [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
         # The model puts a space before a text, but not before an empty one.
         b = [y or [self.space_b] for y in self.b.encode([p[1:] for p in pieces], num_threads=1)]
         get_a, get_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
@@ -141,18 +163,21 @@ class Aligner:
             group, code, times = self._links(ids_a, group_a, n_a, ids_b, group_b, n_b)
             key, times = _summed(piece[group].astype(np.uint64) << np.uint64(32) | code, times)
             counts[at] = np.bincount((key >> np.uint64(32)).astype(np.int64), minlength=len(at))
+            self.starts.append(len(self.codes) + np.cumsum(counts) - counts)
             self.codes.append(key & np.uint64(0xFFFFFFFF))
             self.times.append(times)
             told = self._told(ids_a, n_a, ids_b, n_b)
             for i, x, y in zip(at.tolist(), first.tolist(), first[1:].tolist()):
                 texts[i] = ";".join(told[x:y]).encode()
-            self.held += 16 * len(key)
+            self.held += 8 * len(key)
+        else:
+            self.starts.append(counts)
         base = len(self.texts)
         self.known.update(zip(pieces, range(base, base + len(pieces))))
         self.texts += texts
         self.measures.append(measures)
         self.counts.append(counts)
-        self.held += sum(map(len, pieces)) + sum(len(t or b"") for t in texts) + 300 * len(pieces)
+        self.held += sum(map(len, pieces)) + sum(len(t or b"") for t in texts) + 280 * len(pieces)
 
     def _links(self, ids_a, group_a, n_a, ids_b, group_b, n_b):
         """Group, pair of ids and number of links; a pair may come more than once."""
@@ -183,10 +208,7 @@ class Aligner:
 
     def tables(self):
         """Measures of the known pieces, where their links start, how many these are, their pairs and numbers."""
-        for name in ("measures", "codes", "times", "counts"):
-            setattr(self, name, [np.concatenate(getattr(self, name))])
-        counts = self.counts[0]
-        return self.measures[0], np.cumsum(counts) - counts, counts, self.codes[0], self.times[0]
+        return self.measures.all(), self.starts.all(), self.counts.all(), self.codes.all(), self.times.all()
 
 
 @lru_cache(maxsize=1)
@@ -202,17 +224,19 @@ class Block:
 
     def __init__(self, aligner: Aligner):
         self.aligner = aligner
-        self.pieces: list[np.ndarray] = []
+        self.size, self.chars = 0, 0
+        self.measures: list[np.ndarray] = []
         self.digests: list[str] = []
-        self.chars = 0
+        self.keys, self.links = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
 
     def add(self, texts: list[str]) -> None:
+        """Align some hundred texts and count their links by pair of ids and document."""
         known = self.aligner.known
         split = [[p for p in safe_parts(" " + t) if p] if t else [] for t in texts]
-        new = list({p for s in split for p in s if p not in known})
+        new = list(set(chain.from_iterable(split)) - known.keys())
         if new:
             self.aligner.learn(new)
-        told = self.aligner.texts
+        told, pieces = self.aligner.texts, []
         for s in split:
             own = list(map(known.__getitem__, s))
             groups = list(map(told.__getitem__, own))
@@ -220,26 +244,33 @@ class Block:
                 own, digest = [], ""
             else:
                 digest = hashlib.sha256(b";".join(groups)).hexdigest()
-            self.pieces.append(np.array(own, np.int64))
+            pieces.append(own)
             self.digests.append(digest)
+        measures, starts, counts, codes, times = self.aligner.tables()
+        sizes = np.array(list(map(len, pieces)), np.int64)
+        every = np.fromiter(chain.from_iterable(pieces), np.int64, int(sizes.sum()))
+        sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(measures[every], axis=0, dtype=np.int64)])
+        ends = np.cumsum(sizes)
+        self.measures.append(sums[ends] - sums[ends - sizes])
+        key, often = _summed(np.repeat(np.arange(len(sizes)) + self.size, sizes) << 32 | every, np.ones(len(every), np.int64))
+        piece = key & 0xFFFFFFFF
+        n = counts[piece].astype(np.int64)
+        at = _runs(starts[piece], n)
+        doc = np.repeat((key >> 32).astype(np.uint64), n)
+        key, links = _summed(codes[at].astype(np.uint64) << np.uint64(16) | doc, times[at].astype(np.int64) * np.repeat(often, n))
+        self.keys.append(key)
+        self.links.append(links)
+        self.size += len(texts)
         self.chars += sum(map(len, texts))
 
     def full(self) -> bool:
-        return len(self.pieces) >= BLOCK or self.chars >= BLOCK_CHARS
+        return self.size >= BLOCK or self.chars >= BLOCK_CHARS
 
     def finish(self) -> tuple[np.ndarray, Iterator[tuple[list[int], list[bytes], list[list[bytes]]]]]:
         """The documents' measures, and the postings: pairs, bitmaps of documents, planes."""
-        measures, starts, counts, codes, times = self.aligner.tables()
-        sizes = np.array(list(map(len, self.pieces)), np.int64)
-        every = np.concatenate([*self.pieces, np.zeros(0, np.int64)])
-        sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(measures[every], axis=0)])
-        ends = np.cumsum(sizes)
-        key, often = _summed(np.repeat(np.arange(len(sizes)), sizes) << 32 | every, np.ones(len(every), np.int64))
-        doc, piece = key >> 32, key & 0xFFFFFFFF
-        n = counts[piece]
-        at = _runs(starts[piece], n)
-        key, links = _summed(codes[at] << np.uint64(16) | np.repeat(doc, n).astype(np.uint64), times[at] * np.repeat(often, n))
-        return sums[ends] - sums[ends - sizes], _postings(key, links)
+        key, links = np.concatenate(self.keys), np.concatenate(self.links)
+        order = np.argsort(key)
+        return np.concatenate([np.zeros((0, 4), np.int64), *self.measures]), _postings(key[order], links[order])
 
 
 def _postings(key: np.ndarray, links: np.ndarray) -> Iterator[tuple[list[int], list[bytes], list[list[bytes]]]]:
@@ -309,7 +340,7 @@ def _blocks(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
                 if block.full():
                     yield from done()
                     number, block, rows = number + 1, Block(aligner), []
-        if block.pieces:
+        if block.size:
             yield from done()
 
     return docs.mapInArrow(run, schema)
