@@ -41,14 +41,18 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with one function made per task, so that what is costly to set up is set up once."""
+def map_batches(
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, rows: int | None = None
+) -> DataFrame:
+    """``mapInArrow`` with one function made per task, so that what is costly to set up is set up once.
+    With ``rows`` it gets, and hands on, at most so many rows at a time, which bounds what a worker holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None
         for batch in batches:
             step = step or make()
-            yield step(batch)
+            for at in range(0, batch.num_rows, rows or max(1, batch.num_rows)):
+                yield step(batch.slice(at, rows))
 
     return df.mapInArrow(run, schema)
 

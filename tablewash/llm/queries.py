@@ -102,7 +102,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file("word_bpe_49k.json")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    done = trie_bpe.decode(trie_bpe.encode(docs, path, keep_text=False), path)
+    done = trie_bpe.encode(docs, path, keep_text=False, decoded="decoded")
     return done.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

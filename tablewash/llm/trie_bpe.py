@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +20,9 @@ from tablewash.llm.tokens import load_tokenizer
 
 _NEVER = 1 << 60
 #: Remembered verdicts on pairs of tokens.
-_PAIRS = 1 << 20
+_PAIRS = 1 << 18
 #: Texts whose new words are put into one trie.
-_TOGETHER = 256
+_TOGETHER = 512
 
 
 class PrefixTrie:
@@ -55,7 +57,7 @@ class PrefixTrie:
         self._left: dict[int, list] = {}
         self._right: dict[int, list] = {}
         self._whole: dict[int, bool] = {}
-        self._meet: dict[tuple[int, int], bool] = {}
+        self._meet: dict[int, bool] = {}
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The symbols that stand at one side of a token while it is made, each with the merge that ends it."""
@@ -91,19 +93,30 @@ class PrefixTrie:
 
     def meet(self, p: int, t: int) -> bool:
         """Whether ``p`` and ``t`` stay as they are next to each other."""
-        ok = self._meet.get((p, t))
+        key = p << 20 | t
+        ok = self._meet.get(key)
         if ok is None:
             ok = self.whole(t) and self.crossing(p, t) is None
             if len(self._meet) >= _PAIRS:
                 self._meet.clear()
-            self._meet[p, t] = ok
+            self._meet[key] = ok
         return ok
 
     def _last(self, word: str, d: int, suffix: str, last: list[int]) -> tuple[int, int]:
-        """The last token of ``word[:d] + suffix`` and its length, given those of all shorter prefixes."""
-        for size in range(min(d, self.longest.get(word[d - 1] + suffix, 1)), 0, -1):
-            t = self.ids.get(word[d - size : d] + suffix)
-            if t is not None and (self.meet(last[d - size], t) if size < d else self.whole(t)):
+        """The last token of ``word[:d] + suffix`` and its length, given those of all shorter prefixes.
+        Only one token fits, and short ones are the likelier."""
+        get, known = self.ids.get, self._meet.get
+        for size in range(1, min(d, self.longest.get(word[d - 1] + suffix, 1)) + 1):
+            t = get(word[d - size : d] + suffix)
+            if t is None:
+                continue
+            if size == d:
+                ok = self.whole(t)
+            else:
+                ok = known(last[d - size] << 20 | t)
+                if ok is None:
+                    ok = self.meet(last[d - size], t)
+            if ok:
                 return t, size
         raise ValueError(f"no token for {word[d - 1] + suffix!r}")
 
@@ -170,7 +183,7 @@ class TrieEncoder:
         self.added = {t["content"]: t["id"] for t in added}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         self.plain = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("AÉ") == "aé"
-        self.known = Remembered()
+        self.known = Remembered(160 << 20)
 
     def words(self, chunk: str) -> list[str | int]:
         """The words of a chunk in byte symbols; a special string is its id."""
@@ -195,11 +208,11 @@ class TrieEncoder:
         known = self.known
         known.trim()
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {c: self.words(c) for s in split for c in s if c not in known}
-        found = dict(self.trie.encode({w for ws in new.values() for w in ws if isinstance(w, str)}))
+        new = {c: self.words(c) for c in set(chain.from_iterable(split)) - known.keys()}
+        words = {w for ws in new.values() for w in ws if isinstance(w, str)}
+        found = {w: pack(f"<{len(ids)}I", *ids) for w, ids in self.trie.encode(words)}
         for c, ws in new.items():
-            ids = [i for w in ws for i in ([w] if isinstance(w, int) else found[w])]
-            known.learn(c, np.array(ids, "<u4").tobytes())
+            known.learn(c, b"".join([found[w] if isinstance(w, str) else pack("<I", w) for w in ws]))
         return [b"".join(map(known.__getitem__, s)) for s in split]
 
 
@@ -208,44 +221,58 @@ def trie_encoder(path: str) -> TrieEncoder:
     return TrieEncoder(path)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", keep_text: bool = True) -> DataFrame:
+def encode(
+    df: DataFrame, path: str, text: str = "text", out: str = "ids", keep_text: bool = True, decoded: str | None = None
+) -> DataFrame:
     """``df`` with the ids of each whole text under the tokenizer at ``path``, little-endian unsigned
     32-bit in one binary, as the tokenizers library gives them without added special tokens;
     special strings inside a text are read as its default has it.
 
     The words of a group of texts that a worker does not remember are put into a prefix trie and
     encoded depth first. Nothing is shuffled: a corpus-wide trie would send every occurrence of
-    every word through a join. A worker holds a group of texts and about 320 MB of short words.
+    every word through a join. A worker holds a group of texts and about 160 MB of short words.
 
     A NULL or empty text has no ids. A text or word of any length is encoded whole. Repeated rows
     are encoded each. An empty table gives an empty table. A column named ``out`` is replaced;
-    without ``keep_text`` the texts are not handed back; other columns are carried along.
+    without ``keep_text`` the texts are not handed back; other columns are carried along. With
+    ``decoded`` a column of that name has the text of the ids, as ``decode`` gives it, from the same
+    worker: two of them for each task would both come to hold the remembered words.
     """
-    rest = df.drop(out) if keep_text else df.drop(out, text)
+    new = [out, *([decoded] if decoded else [])]
+    rest = df.drop(*new) if keep_text else df.drop(*new, text)
     (whole,) = fresh(df, "whole_text")
-    schema = T.StructType([*rest.schema.fields, T.StructField(out, T.BinaryType())])
+    schema = T.StructType([
+        *rest.schema.fields, T.StructField(out, T.BinaryType()), *[T.StructField(c, T.StringType()) for c in new[1:]]])
 
     def make():
-        encoder = trie_encoder(path)
+        encoder, read = trie_encoder(path), _reader(path) if decoded else None
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids: list[bytes] = []
-            for at in range(0, batch.num_rows, _TOGETHER):
-                ids += encoder.encode(batch.column(batch.num_columns - 1).slice(at, _TOGETHER).to_pylist())
-            return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary())], schema.names)
+            ids = encoder.encode(batch.column(batch.num_columns - 1).to_pylist())
+            made = [pa.array(ids, pa.binary()), *([pa.array(list(map(read, ids)), pa.string())] if read else [])]
+            return pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], schema.names)
 
         return step
 
-    return map_batches(df.select(*rest.columns, F.coalesce(F.col(text), F.lit("")).alias(whole)), make, schema)
+    return map_batches(df.select(*rest.columns, F.coalesce(F.col(text), F.lit("")).alias(whole)), make, schema, _TOGETHER)
 
 
 @lru_cache(maxsize=2)
-def _strings(path: str) -> dict[int, str]:
+def _reader(path: str) -> Callable[[bytes], str]:
+    """From ids to their text."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     if spec.get("decoder") is not None:
         raise ValueError(f"{path} has a decoder of its own")
-    return {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    strings = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    table = [strings.get(i) for i in range(max(strings) + 1)]
+
+    def text(data: bytes) -> str:
+        found = np.frombuffer(data, "<u4")
+        found = found[found < len(table)]
+        return " ".join([s for s in map(table.__getitem__, found.tolist()) if s is not None])
+
+    return text
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", keep_ids: bool = True) -> DataFrame:
@@ -260,13 +287,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", kee
     schema = T.StructType([*rest.schema.fields, T.StructField(out, T.StringType())])
 
     def make():
-        strings = _strings(path)
-        table = [strings.get(i) for i in range(max(strings) + 1)]
-
-        def text(data: bytes) -> str:
-            found = np.frombuffer(data, "<u4")
-            found = found[found < len(table)]
-            return " ".join([s for s in map(table.__getitem__, found.tolist()) if s is not None])
+        text = _reader(path)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = pa.array([text(x.as_py() or b"") for x in batch.column(batch.num_columns - 1)], pa.string())
@@ -274,4 +295,4 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", kee
 
         return step
 
-    return map_batches(df.select(*rest.columns, F.col(ids).alias(taken)), make, schema)
+    return map_batches(df.select(*rest.columns, F.col(ids).alias(taken)), make, schema, _TOGETHER)

@@ -65,6 +65,9 @@ def test_encode_and_decode(spark):
     back = trie_bpe.decode(out, WORDS, out="text")
     assert back.columns == ["doc_id", "whole_text", "ids", "text"]
     decoder = tokens.load_tokenizer(WORDS)
+    at_once = trie_bpe.encode(df, WORDS, decoded="row")
+    assert at_once.columns == [*out.columns, "row"]
+    assert {(x.doc_id, x.row) for x in at_once.collect()} == {(x.doc_id, x.text) for x in back.collect()}
     for x in back.collect():
         ids = library(WORDS, texts[x.doc_id] or "")
         assert np.frombuffer(bytes(x.ids), "<u4").tolist() == ids and x.text == decoder.decode(ids, skip_special_tokens=False)
