@@ -14,7 +14,7 @@ from tablewash.functions.parse import missing_nan
 from tablewash.functions.text import id_digits, id_prefix, id_text
 from tablewash.functions.typing import logical_type
 from tablewash.operators.fits import IdPattern, fit_id_pattern, fit_median, fit_mode, fit_moments
-from tablewash.operators.ordered import Running, bucket_count, range_bucket, running
+from tablewash.operators.ordered import Running, bucket_count, fit_ranges, running
 from tablewash.session import materialize
 
 PAYLOAD = "__payload"
@@ -150,7 +150,7 @@ def _gaps(df: DataFrame, column: str, fit: IdPattern, buckets: int | None) -> Da
         digits.try_cast("decimal(38,0)").alias("n")).where(F.col("n").isNotNull()).distinct()
     # A number far enough past the largest closes the last interval.
     end = df.sparkSession.range(1).select(F.lit(fit.high + fit.nulls + 1).cast("decimal(38,0)").alias("n"))
-    bucket = range_bucket(numbers, ["n"], buckets, rows=fit.matches)
+    bucket = fit_ranges(numbers, ["n"], buckets, rows=fit.matches)
     steps = running(numbers.unionByName(end), ["n"],
                     [Running("i", "rank"), Running("p", "previous", F.col("n"))], bucket=bucket)
     # Before number p there are (p - low) - (i - 1) missing numbers.

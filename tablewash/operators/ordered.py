@@ -6,14 +6,15 @@ rows are first cut into range buckets of the full key ``(group, order)``. Each b
 on its own, and a short table with one row per (group, bucket) carries the state of the earlier
 buckets in.
 
-The bucket is a plain expression over literal boundaries, so every branch of a plan and every
-retried task puts a row into the same bucket. The boundaries only balance the work: results do
-not depend on them.
+The bucket is found from fixed boundaries, a literal or a written table, so every branch of a plan
+and every retried task puts a row into the same bucket. The boundaries only balance the work:
+results do not depend on them.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -23,10 +24,15 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tablewash.errors import CleaningError, require_columns
+from tablewash.session import materialize
 
 BUCKET, GROUP = "__bucket", "__group"
+CHUNK, SPREAD, BOUNDS = "__chunk", "__spread", "__bounds"
 ROWS_PER_BUCKET = 1_000_000
 SAMPLES_PER_BUCKET = 16
+# Boundaries beyond this number or these bytes are a table instead of a literal.
+LITERAL_BUCKETS = 4_096
+LITERAL_BYTES = 262_144
 # Lengths at which a text boundary may be cut short.
 PREFIXES = (8, 32, 128, 512, 2048, 8192)
 
@@ -81,25 +87,81 @@ def _boundary(before: Column, key: Column, kind: T.DataType) -> Column:
     return F.when(before.isNull(), key).otherwise(out)
 
 
-def _boundaries(
-    df: DataFrame, names: Sequence[str], buckets: int | None, rows: int | None = None
-) -> tuple[str, str, int]:
-    """Bucket boundaries as JSON: a two-level array, so that a row is placed with about
-    2*sqrt(buckets) comparisons. They come from a sample of the keys chosen by hash, of about
-    SAMPLES_PER_BUCKET keys per bucket whatever the size of the table."""
+@dataclass(frozen=True)
+class Ranges:
+    """Range buckets of the key made of the columns ``names``, fitted on one table and added to any
+    table that has these columns. Buckets ascend with the key, and equal keys share a bucket.
+
+    Boundaries that are few and short stand in the plan as ``literal``, a two-level array, so that
+    a row is placed with about 2*sqrt(buckets) comparisons. Others are a written ``table`` with one
+    row per chunk of ``width`` boundaries; only the first of each chunk (``literal``) stands in the
+    plan and tells a row which chunk it meets.
+    """
+
+    names: tuple[str, ...]
+    schema: str
+    width: int = 1
+    literal: str | None = None
+    table: DataFrame | None = None
+    spread: int = 1
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """``df`` with its bucket in a column of its own."""
+        if self.literal is None:
+            return df.withColumn(BUCKET, F.lit(0))
+        key = _key(df, self.names)
+        if self.table is None:
+            return df.withColumn(BUCKET, _let(key, self._place).cast("int"))
+        heads = F.from_json(F.lit(self.literal), f"array<struct<chunk:int,b:{self.schema}>>")
+        chunk = _let(key, lambda k: F.try_element_at(F.filter(heads, lambda h: h["b"] <= k), F.lit(-1))["chunk"])
+        rows = df.withColumn(CHUNK, F.coalesce(chunk, F.lit(0)))
+        table = self.table
+        if self.spread > 1:
+            # Too large to be broadcast: each chunk's boundaries serve several partitions of rows.
+            rows = rows.withColumn(SPREAD, F.pmod(F.xxhash64(*self.names), F.lit(self.spread)).cast("int"))
+            table = table.withColumn(SPREAD, F.explode(F.sequence(F.lit(0), F.lit(self.spread - 1))))
+        on = [c for c in (CHUNK, SPREAD) if c in table.columns]
+        below = F.coalesce(_let(key, lambda k: F.size(F.filter(BOUNDS, lambda b: b <= k))), F.lit(0))
+        below = F.when(F.col(BOUNDS).isNotNull(), below).otherwise(0)
+        return rows.join(table, on, "left").select(
+            *df.columns, (F.col(CHUNK) * self.width + below).cast("int").alias(BUCKET))
+
+    def _place(self, key: Column) -> Column:
+        bounds = F.from_json(F.lit(self.literal), f"array<array<{self.schema}>>")
+        chunk = F.greatest(F.size(F.filter(bounds, lambda c: F.get(c, F.lit(0)) <= key)) - 1, F.lit(0))
+        return _let(chunk, lambda i: i * F.lit(self.width) + F.size(F.filter(F.get(bounds, i), lambda b: b <= key)))
+
+
+def fit_ranges(
+    df: DataFrame, names: Sequence[str], buckets: int | None = None, rows: int | None = None
+) -> Ranges:
+    """Boundaries from a sample of the keys chosen by hash, of about SAMPLES_PER_BUCKET keys per
+    bucket whatever the size of the table. ``rows`` saves the count if it is known. Up to
+    LITERAL_BUCKETS buckets whose boundaries take at most LITERAL_BYTES become a literal; beyond
+    either the sample is sorted by all tasks and the boundaries are written. Rows are scanned to
+    the same results both ways."""
     keys = df.select(_key(df, names).alias("k"))
     if rows is None:
         rows = df.agg(F.count(F.lit(1))).first()[0]
     count = buckets or bucket_count(rows, df.sparkSession)
-    width = max(1, math.isqrt(count))
-    every = max(1, rows // (count * SAMPLES_PER_BUCKET))
-    schema = f"array<array<{keys.schema['k'].dataType.simpleString()}>>"
-    if count == 1 or rows == 0:
-        return "[]", schema, width
-    sample = keys.where(F.pmod(F.xxhash64("k"), F.lit(every)) == 0).agg(
-        F.array_sort(F.collect_set("k")).alias("s")
-    )
     kind = keys.schema["k"].dataType
+    schema = kind.simpleString()
+    if count == 1 or rows == 0:
+        return Ranges(tuple(names), schema)
+    every = max(1, rows // (count * SAMPLES_PER_BUCKET))
+    sample = keys.where(F.col("k").isNotNull() & (F.pmod(F.xxhash64("k"), F.lit(every)) == 0))
+    if count <= LITERAL_BUCKETS:
+        width = max(1, math.isqrt(count))
+        literal = _literal(sample, kind, count, width)
+        if literal in ("[]", "[[]]"):
+            return Ranges(tuple(names), schema)
+        if literal is not None:
+            return Ranges(tuple(names), schema, width, literal)
+    return _written(tuple(names), sample, kind, count)
+
+
+def _literal(sample: DataFrame, kind: T.DataType, count: int, width: int) -> str | None:
+    """The boundaries as JSON, chunk by chunk; None if that takes more than LITERAL_BYTES."""
     cuts = F.filter(F.transform(F.sequence(F.lit(1), F.lit(count - 1)), lambda i: _let(
         F.floor(i * F.size("s") / F.lit(count)).cast("int"),
         lambda at: _boundary(F.get("s", at - 1), F.get("s", at), kind))), lambda x: x.isNotNull())
@@ -107,25 +169,47 @@ def _boundaries(
         f"transform(sequence(0, greatest(0, (size(cuts) - 1) div {width})), "
         f"i -> slice(cuts, i * {width} + 1, {width}))"
     )
-    row = sample.select(cuts.alias("cuts")).selectExpr(f"to_json({nested}) as j").first()
-    return row["j"] or "[]", schema, width
-
-
-def range_bucket(
-    df: DataFrame, names: Sequence[str], buckets: int | None = None, rows: int | None = None
-) -> Column:
-    """The range bucket of the key made of the columns ``names``, as a deterministic
-    expression. Buckets ascend with the key. ``rows`` saves the count if it is known."""
-    text, schema, width = _boundaries(df, names, buckets, rows)
-    if text in ("[]", "[[]]"):
-        return F.lit(0)
-    bounds = F.from_json(F.lit(text), schema)
-
-    def place(key: Column) -> Column:
-        chunk = F.greatest(F.size(F.filter(bounds, lambda c: F.get(c, F.lit(0)) <= key)) - 1, F.lit(0))
-        return _let(chunk, lambda i: i * F.lit(width) + F.size(F.filter(F.get(bounds, i), lambda b: b <= key)))
-
-    return _let(_key(df, names), place).cast("int")
+    text = sample.agg(F.array_sort(F.collect_set("k")).alias("s")).select(cuts.alias("cuts")).selectExpr(
+        f"to_json({nested}) as j")
+    return text.select(F.when(F.octet_length("j") <= LITERAL_BYTES, F.col("j"))).first()[0]
+
+
+def _written(names: tuple[str, ...], sample: DataFrame, kind: T.DataType, count: int) -> Ranges:
+    """The boundaries as a table. The id of a sorted key holds its partition and its place there, so
+    its place among all keys needs the sizes of the partitions only."""
+    spark = sample.sparkSession
+    keys = materialize(sample.distinct().orderBy("k").select("k", F.monotonically_increasing_id().alias("id")))
+    keys = keys.withColumn("part", F.shiftright("id", 33))
+    sizes = keys.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select(
+        "part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        F.sum("n").over(Window.partitionBy()).alias("total"))
+    placed = keys.join(sizes, "part").select(
+        "k", "total", (F.col("before") + F.col("id").bitwiseAND((1 << 33) - 1)).alias("pos"),
+        F.lag("k").over(Window.partitionBy("part").orderBy("id")).alias("previous"))
+    # Cut i stands at the key of position floor(i * total / count).
+    number = F.expr(f"(pos * {count} + total - 1) div total")
+    cuts = placed.withColumn("i", number).where(
+        (F.col("i") > 0) & (F.col("i") < count) & (F.col("i") * F.col("total") < (F.col("pos") + 1) * count))
+    cuts = materialize(cuts.select("i", _boundary(F.col("previous"), F.col("k"), kind).alias("b")))
+    size = F.octet_length(F.to_json(F.struct("i", "b")))
+    longest, bytes_ = cuts.agg(F.max(size), F.sum(size)).first()
+    if longest is None:
+        return Ranges(names, kind.simpleString())
+    chunks = max(1, min(math.isqrt(count), LITERAL_BYTES // (longest + 24)))
+    width = math.ceil(count / chunks)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", "b"))), lambda x: x["b"])
+    table = materialize(cuts.groupBy(F.expr(f"cast(i div {width} as int)").alias(CHUNK)).agg(ordered.alias(BOUNDS)))
+    # At most ``chunks`` rows, of LITERAL_BYTES together unless there is but one.
+    heads = "[]" if chunks == 1 else table.agg(F.to_json(F.array_sort(F.collect_list(
+        F.struct(F.col(CHUNK).alias("chunk"), F.get(BOUNDS, F.lit(0)).alias("b")))))).first()[0]
+    fits = bytes_ <= _bytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+    return Ranges(names, kind.simpleString(), width, heads, table, 1 if fits else max(2, count // chunks))
+
+
+def _bytes(text: str) -> int:
+    """A size setting in bytes, as ``10MB``, ``10485760b`` or ``-1``."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]?)b?", text.strip().lower()).groups()
+    return int(number) * {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}[unit]
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -139,23 +223,24 @@ def running(
     outputs: Sequence[Running],
     partition_by: Sequence[str] = (),
     buckets: int | None = None,
-    bucket: Column | None = None,
+    bucket: Column | Ranges | None = None,
 ) -> DataFrame:
     """Add the ``outputs`` to ``df``, scanning each group of ``partition_by`` in the order of
     ``order_by`` (ascending, nulls first). Together with ``partition_by`` the order columns must
     identify a row; the job fails where two rows share a key. One shuffle of the rows, whatever the number of outputs.
 
-    ``bucket`` may give a bucket expression of the caller's own; it must ascend with the key.
+    ``bucket`` may give ranges fitted elsewhere or a bucket expression of the caller's own; it must
+    ascend with the key.
     """
     order_by, group = list(order_by), list(partition_by)
     if not order_by:
         raise CleaningError("an ordered scan needs order_by columns")
     require_columns(df, *order_by, *group)
     if bucket is None:
-        bucket = range_bucket(df, group + order_by, buckets)
+        bucket = fit_ranges(df, group + order_by, buckets)
     # The group as one struct: unlike its columns it is never NULL, so plain equality joins it.
     key = [GROUP, BUCKET] if group else [BUCKET]
-    rows = df.withColumn(BUCKET, bucket)
+    rows = bucket.add(df) if isinstance(bucket, Ranges) else df.withColumn(BUCKET, bucket)
     if group:
         rows = rows.withColumn(GROUP, F.struct(*group))
 

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tablewash.operators import cells, diff, fills, quality, rows
+from tablewash.operators import cells, diff, fills, ordered, quality, rows
 from tablewash.plans.steps import run_steps
 from tablewash.session import scratch_dir
 from tablewash.sources.tables import TableSet, read_table
@@ -27,6 +27,17 @@ def fill_forward_text_key(spark, folder):
     return fills.fill_forward(docs, "n", ["t", "doc_id"]).drop("t")
 
 
+@query("fill_forward_many_buckets", """
+WITH m AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN doc_id % 3 = 0 THEN n_chars END AS n FROM documents)
+SELECT doc_id, """ + _FORWARD.format(c="n", o="t, doc_id") + " AS n FROM m")
+def fill_forward_many_buckets(spark, folder):
+    """More buckets than stand in a plan: their boundaries are a table."""
+    docs = table(spark, folder, "documents").selectExpr(
+        "doc_id", "coalesce(text, '') AS t", "CASE WHEN doc_id % 3 = 0 THEN n_chars END AS n")
+    buckets = max(ordered.LITERAL_BUCKETS + 1, ordered.bucket_count(docs.count(), spark))
+    return fills.fill_forward(docs, "n", ["t", "doc_id"], buckets=buckets).drop("t")
+
+
 @query("fill_forward_null_key", """
 WITH m AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey <> (SELECT min(o_orderkey) FROM orders) THEN o_orderkey END AS o,
   CASE WHEN o_orderkey = (SELECT min(o_orderkey) FROM orders) OR o_orderkey % 50 = 0 THEN o_totalprice END AS p FROM orders)

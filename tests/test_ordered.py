@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablewash.operators.ordered import Running, range_bucket, running
+from tablewash.operators import ordered
+from tablewash.operators.ordered import BUCKET, Running, fit_ranges, running
 from tablewash.operators.quantiles import approx_quantiles, exact_quantiles
 
 def outputs():
@@ -52,14 +53,56 @@ def test_running_equals_plain_window(table, group, order, buckets):
 
 
 def test_buckets_ascend_and_split_a_hot_group(table):
-    bucket = range_bucket(table, ["g", "k"], 12)
-    rows = table.select("g", "k", bucket.alias("b")).collect()
+    rows = fit_ranges(table, ["g", "k"], 12).add(table).select("g", "k", F.col(BUCKET).alias("b")).collect()
     rows.sort(key=lambda r: (r["g"] is not None, r["g"] or "", r["k"]))
     found = [r["b"] for r in rows]
     assert found == sorted(found)
     assert len({r["b"] for r in rows if r["g"] == "hot"}) >= 3
 
 
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+@pytest.mark.parametrize("group, order", [([], ["k"]), ([], ["d", "k"]), (["g"], ["k"]), (["g", "t"], ["k"])])
+def test_written_boundaries_give_the_same_scan(spark, table, monkeypatch, group, order, broadcast):
+    monkeypatch.setattr(ordered, "LITERAL_BUCKETS", 1)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        ranges = fit_ranges(table, group + order, 40)
+        assert ranges.table is not None and (ranges.spread > 1) == (broadcast == "-1")
+        rows = ranges.add(table).select(*group, *order, F.col(BUCKET).alias("b")).collect()
+        got = running(table, order, outputs(), group, 40).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    rows.sort(key=lambda r: [(v is not None, v) for v in r[:-1]])
+    found = [r["b"] for r in rows]
+    assert found == sorted(found) and len(set(found)) >= 20
+    assert max(found.count(b) for b in set(found)) <= 60
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, plain(table, group, order).collect()), key=repr)
+
+
+def test_no_literal_above_its_bytes(spark, monkeypatch):
+    # Neighbours differ only behind 3,000 equal characters, so no boundary can be short.
+    rows = spark.range(300).select(F.concat(F.lit("y" * 3000), F.lpad("id", 4, "0")).alias("k"), F.col("id").alias("v"))
+    assert fit_ranges(rows, ["k"], 20).table is None
+    monkeypatch.setattr(ordered, "LITERAL_BYTES", 20_000)
+    ranges = fit_ranges(rows, ["k"], 20)
+    assert ranges.table is not None and len(ranges.literal) <= 20_000
+    got = running(rows, ["k"], [Running("r", "rank")], buckets=20).where("r <> v").count()
+    assert got == 0
+    monkeypatch.setattr(ordered, "LITERAL_BYTES", 10)  # not even one boundary may stand in the plan
+    ranges = fit_ranges(rows, ["k"], 20)
+    assert ranges.literal == "[]"
+    assert ranges.add(rows).select(BUCKET).distinct().count() >= 15
+
+
+def test_all_null_and_single_keys_need_no_boundaries(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "LITERAL_BUCKETS", 1)
+    rows = spark.createDataFrame([(None,)], "k string")
+    assert [r["r"] for r in running(rows, ["k"], [Running("r", "rank")], buckets=8).collect()] == [0]
+    rows = spark.createDataFrame([("a", 1)], "k string, v int")
+    assert [r["r"] for r in running(rows, ["k"], [Running("r", "rank")], buckets=8).collect()] == [0]
+
+
 def test_plan_never_gathers_rows_in_one_partition(table):
     scan = running(table, ["k"], [Running("r", "rank")], buckets=8)
     lines = scan._jdf.queryExecution().executedPlan().toString().splitlines()
