@@ -14,6 +14,7 @@ from tablewash.plans.steps import run_steps
 from tablewash.plans.suggest import clean_by_hints, clean_set_by_hints
 from tablewash.session import scratch_dir
 from tablewash.sources.tables import Relationship, TableSet
+from tablewash.streaming.carried import ForwardFill
 from tablewash.streaming.stream import apply_cell_steps, apply_fitted, drop_duplicates_within, keep_known, run_available
 from tablewash.workloads.messy import CUSTOMERS, oracle, table, view
 from tablewash.workloads.registry import query
@@ -338,3 +339,24 @@ def stream_known(spark, folder):
     stream = _stream(spark, folder, "events").selectExpr(
         "event_id", "CASE WHEN event_id % 7 = 0 THEN user_id + 90000000 WHEN event_id % 9 = 0 THEN NULL ELSE user_id END AS who")
     return _finished(keep_known(stream, "who", table(spark, folder, "customer"), "c_custkey"))
+
+
+@query("stream_fill_forward", """
+WITH m AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 7 = 0 THEN value END AS value FROM events)
+SELECT event_id, user_id, coalesce(last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id),
+   first_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id
+     ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS value FROM m""")
+def stream_fill_forward(spark, folder):
+    """The events come in three stretches of time, each a run of the stream that goes on from the last."""
+    events = table(spark, folder, "events").selectExpr(
+        "event_id", "user_id", "ts", "CASE WHEN event_id % 7 = 0 THEN value END AS value")
+    base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    fill = ForwardFill(events.schema, "value", ["ts", "event_id"], ["user_id"], f"{base}/fill")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = (v or 0 for v in events.agg(F.min(micros), F.max(micros)).first())
+    third = F.least(F.floor((micros - F.lit(first)) * 3 / F.lit(max(1, last - first))), F.lit(2))
+    for part in range(3):
+        mine = events.where(F.coalesce(third, F.lit(0)) == part)
+        mine.write.mode("append").parquet(f"{base}/in")
+        run_available(spark.readStream.schema(events.schema).parquet(f"{base}/in"), "", f"{base}/checkpoint", fill)
+    return fill.filled(spark, rest=True).drop("ts")
