@@ -103,7 +103,7 @@ def _skew(x: Column) -> Column:
     """Bias-corrected skewness: NULL below three values, 0 without variance."""
     n = F.count(x).cast("double")
     corrected = F.sqrt(n * (n - 1)) / (n - 2) * F.skewness(x)
-    return F.when(n >= 3, F.when(F.var_pop(x) == 0, F.lit(0.0)).otherwise(corrected))
+    return F.when(n >= 3, F.when((F.var_pop(x) == 0) | (F.min(x) == F.max(x)), F.lit(0.0)).otherwise(corrected))
 
 
 def distribution(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:

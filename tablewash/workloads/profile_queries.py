@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewash.operators import cells, detect, diff, fills, profile, rows
+from tablewash.operators import cells, detect, diff, fills, parts, profile, rows
 from tablewash.operators.fits import fit_median
 from tablewash.sources.tables import TableSet
 from tablewash.workloads.messy import oracle, table, view
@@ -117,6 +117,18 @@ def prof_multi(spark, folder):
     return _rounded(profile.profile_tables(tables).drop("position", "type"), *STATS)
 
 
+@query("prof_merged_parts", oracle("orders_messy", _per_column(ORDER_NUMBERS, """
+SELECT '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS nulls, count({c}) AS cells, round(avg({c}), 4) AS mean,
+  round(stddev_samp({c}), 4) AS std, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(skewness({c}), 4) AS skew FROM orders_messy""")))
+def prof_merged_parts(spark, folder):
+    """Days are profiled on their own, merged into months, and months into the whole."""
+    orders = view(spark, folder, "orders_messy").select("k", F.substring("day_text", 1, 10).alias("day"), *ORDER_NUMBERS[1:])
+    days = parts.profile_parts(orders, ["day"])
+    months = parts.merge_parts(days.withColumn("month", F.substring("day", 1, 7)), ["month"])
+    return _rounded(parts.parts_profile(months), "mean", "std", "skew").select(
+        "column", "rows", "nulls", "cells", "mean", "std", "min", "max", "skew")
+
+
 @query("prof_cardinality", oracle("orders_messy", _per_column(ORDER_COLUMNS, """SELECT '{c}' AS "column",
   count(DISTINCT {c}) AS "distinct", count({c}) AS cells, round(count(DISTINCT {c}) / count({c}), 6) AS ratio FROM orders_messy""")))
 def prof_cardinality(spark, folder):
