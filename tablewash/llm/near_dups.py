@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ from tablewash.llm.components import components
 WORDS, THRESHOLD = 5, 0.8
 #: Tries of the forest, the length of their labels, and the share of pairs at the threshold to be met.
 TREES, LABEL, RECALL = 40, 10, 0.9995
+#: Words of 64 bits in the bitmap that tells which texts may be in a family: 4 MB as broadcast rows.
+BITMAP = 1 << 18
 #: Texts in one block of a node or of a family, and shingles in one block of a family.
 BLOCK, BLOCK_SHINGLES = 192, 100_000
 #: A pair whose signatures agree this much less often than the threshold belongs to another family.
@@ -24,14 +27,32 @@ _CHUNK = 2048
 
 
 def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, label: int = LABEL, recall: float = RECALL) -> int:
-    """How long a common prefix must be. From whole labels on, prefixes are shortened until a pair
-    at the threshold shares one in some tree with probability ``recall``: 1 - (1 - s ** d) ** trees."""
+    """How far the prefixes of a text have to be shortened if all its trees are treated alike: the
+    longest prefix with which a pair at the threshold meets in some tree with probability
+    ``recall``: 1 - (1 - s ** d) ** trees."""
     for depth in range(label, 0, -1):
         if 1 - (1 - threshold**depth) ** trees >= recall:
             return depth
     raise ValueError("too few trees for this recall")
 
 
+def depths_by_rank(threshold: float = THRESHOLD, trees: int = TREES, label: int = LABEL, recall: float = RECALL) -> list[int]:
+    """Prefix lengths for the trees of a text whose nodes are all large, the largest node first.
+
+    Whole labels are shortened value by value, from the smallest node on, until the chance that a
+    pair at the threshold is met in no tree, the product of 1 - s ** d, is 1 - ``recall`` at most;
+    the largest nodes stay longest. Where only some of a text's nodes are large, these take the
+    first ranks and the others the shortest prefix, so the target holds all the more."""
+    least = prefix_depth(threshold, trees, label, recall)
+    depths = [label] * trees
+    for rank in reversed(range(trees)):
+        while depths[rank] > least:
+            if 1 - math.prod(1 - threshold**d for d in depths) >= recall:
+                return depths
+            depths[rank] -= 1
+    return depths
+
+
 def _hash_family(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20_240_917)
     return rng.integers(0, 2**32, n, np.uint32) | np.uint32(1), rng.integers(0, 2**32, n, np.uint32)
@@ -49,36 +70,26 @@ def signature(shingles: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np
     return least
 
 
-def sign_texts(df: DataFrame, text: str, trees: int, depth: int, words: int) -> DataFrame:
-    """``df`` without its text, with ``n_shingles``, ``nodes`` (the trie node of depth ``depth`` in each
-    tree, as a hash of the label's prefix) and ``sketch`` (one byte of each signature value)."""
+def sign_texts(df: DataFrame, text: str, trees: int, label: int, words: int) -> DataFrame:
+    """``df`` without its text, with ``n_shingles`` and ``labels``: one label for each tree, next to
+    one another, of ``label`` values of two bytes each (the low bits of a signature value)."""
     rest = df.drop(text)
-    schema = rest.select("*", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("array<long>").alias("nodes"),
-                         F.lit(None).cast("binary").alias("sketch")).schema
+    schema = rest.select("*", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("binary").alias("labels")).schema
     (whole,) = fresh(df, "whole_text")
 
     def make():
-        family = _hash_family(trees * depth)
-        powers = np.array([pow(0x9E3779B97F4A7C15, k + 1, 2**64) for k in range(depth)], np.uint64)
+        family = _hash_family(trees * label)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            counts, nodes, sketches = [], [], []
+            counts, labels = [], []
             for _, data, offsets in text_parts(batch.column(batch.num_columns - 1)):
                 hashes, starts = word_hashes(data, offsets)
                 for i in range(len(offsets) - 1):
                     shingles = shingle_hashes(hashes[starts[i] : starts[i + 1]], words)
                     counts.append(len(np.unique(shingles)))
-                    if len(shingles) == 0:
-                        nodes.append([])
-                        sketches.append(b"")
-                        continue
-                    least = signature(shingles, family)
-                    labels = least.reshape(trees, depth).astype(np.uint64)
-                    nodes.append(((labels + np.uint64(1)) * powers).sum(axis=1, dtype=np.uint64).view(np.int64))
-                    sketches.append((least >> np.uint32(24)).astype(np.uint8).tobytes())
-            return pa.RecordBatch.from_arrays([
-                *batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(nodes, pa.list_(pa.int64())),
-                pa.array(sketches, pa.binary())], schema.names)
+                    labels.append(signature(shingles, family).astype(np.uint16).tobytes() if len(shingles) else b"")
+            return pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(labels, pa.binary())], schema.names)
 
         return step
 
@@ -98,9 +109,12 @@ def near_duplicates(
     least ``threshold``; a class is all that copies and links connect.
 
     1. Equal texts become one text, by 128 bits of hash.
-    2. Each text gets a label in every tree of the forest. Texts that share a trie node of the depth
-       of ``prefix_depth`` are candidates. Nodes are cut into blocks, pairs of blocks are compared by
-       their signatures, and what agrees well enough is joined into families.
+    2. Each text gets a label in every tree of the forest. Labels are sorted, so that neighbours show
+       the prefix they match and every node of a trie is a run of them. A text's prefixes are
+       shortened until ``recall`` is reached for a pair at the threshold, those of its largest nodes
+       last (``depths_by_rank``); texts that share such a node are candidates. Nodes are cut into
+       blocks, pairs of blocks are compared by their labels, and what agrees well enough is joined
+       into families.
     3. The families' texts are sent out by pairs of blocks, and every pair of texts is verified by its
        exact overlap. Only counts and one edge per text leave a pair of blocks.
     4. Connected components of those edges are the classes.
@@ -111,15 +125,14 @@ def near_duplicates(
     shingle, no links, and is a class of its own with n_copies 1. Ids may be NULL or repeat: texts,
     not ids, are compared. An empty table gives an empty table. Other columns are not read.
     """
-    depth = prefix_depth(threshold, trees, label, recall)
     keyed = df.select(F.col(doc).alias("doc"), text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
-    signed = materialize(sign_texts(keyed, "text", trees, depth, words))
+    signed = materialize(sign_texts(keyed, "text", trees, label, words))
     texts = materialize(
         signed.where("n_shingles > 0").groupBy("key").agg(
             F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"),
-            F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch"))
+            F.first("labels").alias("labels"))
         .withColumn("tid", F.monotonically_increasing_id()))
-    families = components(_family_edges(texts, trees * depth, threshold), "tid", "other")
+    families = components(_family_edges(texts, threshold, trees, label, recall), "tid", "other")
     found = materialize(_verify(keyed, texts, families, words, threshold))
     links = found.groupBy("tid").agg(F.sum("links").alias("n_links"))
     linked = components(found.where("links > 0"), "tid", "other").select(
@@ -138,14 +151,63 @@ def near_duplicates(
     return full.unionByName(bare)
 
 
-def _family_edges(texts: DataFrame, values: int, threshold: float) -> DataFrame:
-    """(tid, other) edges that connect all texts of a trie node whose sketches agree well enough."""
-    placed = texts.select("tid", F.posexplode("nodes").alias("tree", "node"))
-    shared = placed.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = placed.join(shared, ["tree", "node"]).join(texts.select("tid", "sketch"), "tid")
+def _family_edges(texts: DataFrame, threshold: float, trees: int, label: int, recall: float) -> DataFrame:
+    """(tid, other) edges that connect all texts of a trie node whose labels agree well enough."""
+    least = prefix_depth(threshold, trees, label, recall)
+    shared = materialize(matched_prefixes(texts, trees, label, least))
+    placed = chosen_nodes(shared, least, depths_by_rank(threshold, trees, label, recall), label)
+    sizes = placed.groupBy("of").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = placed.join(sizes, "of").join(texts.select("tid", "labels"), "tid")
     blocks = F.ceil(F.col("n") / BLOCK)
-    return _pairs_of_blocks(members.withColumn("of", F.xxhash64("tree", "node")), blocks, "tid", "of").mapInArrow(
-        lambda batches: _agreeing(batches, values, threshold - MARGIN), "tid long, other long")
+    return _pairs_of_blocks(members, blocks, "tid", "of").mapInArrow(
+        lambda batches: _agreeing(batches, trees * label, threshold - MARGIN), "tid long, other long")
+
+
+def matched_prefixes(texts: DataFrame, trees: int, label: int, least: int) -> DataFrame:
+    """(tid, tree, label) of the labels that share ``least`` values or more with another one of their
+    tree. All labels are sorted over all tasks, where such labels lie next to one another, however
+    many they are; the two at the ends of a task's range are kept unseen."""
+    size = 2 * label
+    labels = texts.select("tid", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "labels").select(
+        "tid", "tree", F.expr(f"substring(labels, tree * {size} + 1, {size})").alias("label"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, before = None, label
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if rest is None else [rest, batch])
+            if not table.num_rows:
+                continue
+            values = np.frombuffer(b"".join(table.column("label").to_pylist()), np.uint16).reshape(-1, label)
+            tree = table.column("tree").to_numpy()
+            after = np.cumprod(values[1:] == values[:-1], axis=1).sum(axis=1) * (tree[1:] == tree[:-1])
+            matched = np.maximum(np.concatenate([[before], after[:-1]])[: len(after)], after)
+            yield from table.slice(0, len(after)).filter(pa.array(matched >= least)).to_batches()
+            rest = table.slice(len(after)).combine_chunks().to_batches()[0]
+            before = after[-1] if len(after) else before
+        if rest is not None:
+            yield rest
+
+    ordered = labels.repartitionByRange("tree", "label").sortWithinPartitions("tree", "label")
+    return ordered.mapInArrow(walk, labels.schema)
+
+
+def chosen_nodes(shared: DataFrame, least: int, depths: list[int], label: int) -> DataFrame:
+    """(tid, of): the trie nodes in which texts are compared. A node of ``least`` values with up to
+    ``BLOCK`` texts is one. In larger ones a text asks for its node of the length that ``depths``
+    gives for this one's rank among its large nodes, and takes the shortest node on its path that
+    any text asks for, so all texts of a node that is asked for meet in it."""
+    node = lambda depth: F.xxhash64("tree", F.substring("label", 1, 2 * depth))
+    placed = shared.withColumn("of", node(least))
+    placed = placed.join(placed.groupBy("of").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "of")
+    large = placed.where(F.col("n") > BLOCK).select("tid", "tree", "label", "n")
+    ranked = large.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("n", "tree", "label")), asc=False).alias("nodes"))
+    asked = ranked.select(F.explode(F.transform("nodes", lambda x, rank: F.struct(
+        x["tree"].alias("tree"), x["label"].alias("label"), F.get(F.lit(depths), rank).alias("depth")))).alias("at")).select("at.*")
+    asked = asked.select(F.xxhash64("tree", F.expr("substring(label, 1, 2 * depth)")).alias("of")).distinct()
+    path = large.select("tid", "tree", F.explode(F.array(*[
+        F.struct(F.lit(d).alias("depth"), node(d).alias("of")) for d in range(least, label + 1)])).alias("at")).select("tid", "tree", "at.*")
+    taken = path.join(asked, "of", "left_semi").groupBy("tid", "tree").agg(F.min(F.struct("depth", "of"))["of"].alias("of"))
+    return placed.where(F.col("n") <= BLOCK).select("tid", "of").unionByName(taken.select("tid", "of"))
 
 
 def _pairs_of_blocks(df: DataFrame, blocks, row: str, *group: str) -> DataFrame:
@@ -188,7 +250,7 @@ def _group_numbers(table: pa.Table, names: list[str]) -> np.ndarray:
 def _agreeing(batches: Iterator[pa.RecordBatch], values: int, least: float) -> Iterator[pa.RecordBatch]:
     for table, group in _whole_groups(batches, ["of", "low", "high"]):
         tid = table.column("tid").to_numpy()
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, values)
+        sketch = np.frombuffer(b"".join(table.column("labels").to_pylist()), np.uint8)[::2].reshape(-1, values)
         block = table.column("block").to_numpy()
         mixed = table.column("low").to_numpy() != table.column("high").to_numpy()
         first, second = [], []
@@ -232,8 +294,7 @@ def _verify(keyed: DataFrame, texts: DataFrame, families: DataFrame, words: int,
     members = texts.select("tid", "key", "n_shingles").join(families, F.col("tid") == F.col("node"))
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
     members = members.select("tid", "key", "root").join(sizes, "root")
-    rows = keyed.select("key", "text").join(members, "key").groupBy("tid").agg(
-        F.first("root").alias("root"), F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("text").alias("text"))
+    rows = _texts_of(keyed.select("key", "text"), members).join(members, "key")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,6 +320,16 @@ def _verify(keyed: DataFrame, texts: DataFrame, families: DataFrame, words: int,
     return _pairs_of_blocks(rows, blocks, "tid", "root").mapInArrow(check, "tid long, links long, other long")
 
 
+def _texts_of(keyed: DataFrame, members: DataFrame) -> DataFrame:
+    """One row for each key of ``members``, with its text, and some rows more. A bitmap of fixed size
+    stops most other texts before the shuffle (all, but for chance, below some million keys; ever
+    fewer beyond, with the same result), and copies become one row per task before it."""
+    at, bit = F.xxhash64("key").bitwiseAND(F.lit(BITMAP - 1)), F.expr("cast(shiftrightunsigned(xxhash64(key), 58) as int)")
+    bits = members.select(at.alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    near = keyed.withColumn("at", at).withColumn("bit", bit).join(F.broadcast(bits), "at").where("getbit(bits, bit) = 1")
+    return near.select("key", "text").dropDuplicates(["key"])
+
+
 def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     """Which pairs of sets have a Jaccard similarity of at least ``threshold``; none with itself.
 

@@ -71,6 +71,57 @@ def test_broken_archive_raises(spark):
 
 # Near duplicates
 
+def test_depths_reach_the_recall():
+    for trees, label, recall in [(40, 10, 0.9995), (30, 12, 0.99), (60, 12, 0.9999)]:
+        depths = near_dups.depths_by_rank(0.8, trees, label, recall)
+        miss = lambda d: np.prod([1 - 0.8**x for x in d])
+        assert depths == sorted(depths, reverse=True) and depths[0] > depths[-1] and 1 - miss(depths) >= recall
+        last = [k for k, d in enumerate(depths) if d < label][0]
+        assert 1 - miss([d + (k == last) for k, d in enumerate(depths)]) < recall
+
+
+def test_forest_nodes_equal_brute_force(spark, monkeypatch):
+    """Every text meets all texts with which it shares the prefix it asks for, in nodes of any size."""
+    monkeypatch.setattr(near_dups, "BLOCK", 3)
+    r = np.random.default_rng(3)
+    trees, label, least, depths = 6, 4, 2, [4, 4, 3, 2, 2, 2]
+    values = r.integers(0, 3, (60, trees, label)).astype(np.uint16)
+    values[:25, :, :2] = 7
+    texts = spark.createDataFrame([(t, v.tobytes()) for t, v in enumerate(values)], "tid long, labels binary").repartition(5)
+    shared = near_dups.matched_prefixes(texts, trees, label, least)
+    seen = {(x.tid, x.tree) for x in shared.collect()}
+    prefix = lambda x, t, d: tuple(values[x, t, :d])
+    size = collections.Counter((t, prefix(x, t, least)) for x in range(60) for t in range(trees))
+    assert seen >= {(x, t) for x in range(60) for t in range(trees) if size[t, prefix(x, t, least)] > 1}
+    placed = collections.defaultdict(set)
+    for x in near_dups.chosen_nodes(shared, least, depths, label).collect():
+        placed[x.of].add(x.tid)
+    met = {(x, y) for node in placed.values() for x in node for y in node}
+    for x in range(60):
+        large = sorted((t for t in range(trees) if size[t, prefix(x, t, least)] > 3),
+                       key=lambda t: (size[t, prefix(x, t, least)], t), reverse=True)
+        asks = {t: depths[large.index(t)] if t in large else least for t in range(trees)}
+        for t in range(trees):
+            assert all((x, y) in met for y in range(60) if y != x and prefix(x, t, asks[t]) == prefix(y, t, asks[t]))
+    assert any(0 < len(n) for n in placed.values()) and max(map(len, placed.values())) < max(size.values()) + 1
+
+
+def test_large_nodes_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "BLOCK", 4)
+    r = random.Random(4)
+    base, rows = [f"w{r.randint(0, 5000)}" for _ in range(150)], []
+    for n in range(90):
+        w = list(base) if n < 60 else [f"x{r.randint(0, 5000)}" for _ in range(60)]
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(len(w))] = f"v{r.randint(0, 99)}"
+        rows += [(n, " ".join(w))] * (1 if n % 3 else 20)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    texts, links, root = brute_classes(rows)
+    got = {x.text_key: (x.n_links, x.n_copies) for x in near_dups.near_duplicates(df).collect()}
+    copies = collections.Counter(t for _, t in rows)
+    assert sorted(got.values()) == sorted((links[i], copies[t]) for i, t in enumerate(texts))
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100 + r.randint(0, 40), 100 + r.randint(0, 40)) for _ in range(30)] + [(7, 7), (None, 3)]
