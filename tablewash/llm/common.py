@@ -94,12 +94,12 @@ def _table(kind: str, n: int) -> np.ndarray:
     return _POWERS[kind]
 
 
-_PART = 1 << 22
+_PART = 1 << 20
 
 
 def text_parts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """The texts of a batch as runs of neighbouring texts: first text, their bytes, their offsets.
-    A run holds about 4 MB, or one text if that is longer, so that work arrays stay small."""
+    A run holds about 1 MB, or one text if that is longer, so that work arrays stay small."""
     offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) else np.int32)
     offsets = offsets[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = column.buffers()[2]
