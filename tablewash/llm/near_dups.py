@@ -16,6 +16,8 @@ from tablewash.llm.components import components
 WORDS, THRESHOLD = 5, 0.8
 #: Tries of the forest, the length of their labels, and the share of pairs at the threshold to be met.
 TREES, LABEL, RECALL = 40, 10, 0.9995
+#: Label values by which two texts of a node are compared.
+SKETCH = 280
 #: Words of 64 bits in the bitmap that tells which texts may be in a family: 4 MB as broadcast rows.
 BITMAP = 1 << 18
 #: Texts in one block of a node or of a family, and shingles in one block of a family.
@@ -156,10 +158,11 @@ def _family_edges(texts: DataFrame, threshold: float, trees: int, label: int, re
     shared = materialize(matched_prefixes(texts, trees, label, least))
     placed = chosen_nodes(shared, least, depths_by_rank(threshold, trees, label, recall), label)
     sizes = placed.groupBy("of").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = placed.join(sizes, "of").join(texts.select("tid", "labels"), "tid")
+    values = min(SKETCH, trees * label)
+    members = placed.join(sizes, "of").join(texts.select("tid", F.substring("labels", 1, 2 * values).alias("labels")), "tid")
     blocks = F.ceil(F.col("n") / BLOCK)
     return _pairs_of_blocks(members, blocks, "tid", "of").mapInArrow(
-        lambda batches: _agreeing(batches, trees * label, threshold - MARGIN), "tid long, other long")
+        lambda batches: _agreeing(batches, values, threshold - MARGIN), "tid long, other long")
 
 
 def matched_prefixes(texts: DataFrame, trees: int, label: int, least: int) -> DataFrame:
