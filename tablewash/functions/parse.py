@@ -3,6 +3,8 @@ except where a function says so."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,6 +50,8 @@ DATE_SHAPES = (
 TIME_OF_DAY = r"[ T](\d{1,2}:\d{2}(?::\d{2}(?:[.]\d{1,6})?)?(?: ?[AaPp][Mm])?)"
 AHEAD = 50
 ZONE = r" ?(Z|[+-]\d{2}:?\d{2})"
+#: One test that every readable cell passes, so that most others are let go after it.
+MOMENT = rf"^(?:{'|'.join(dict.fromkeys(shape for shape, _ in DATE_SHAPES))})(?:{TIME_OF_DAY}(?:{ZONE})?)?$"
 
 
 def missing_nan(c: Column, dtype: T.DataType) -> Column:
@@ -110,17 +114,32 @@ def to_timestamp_mixed(c: Column, dtype: T.DataType) -> Column:
         return c.cast("timestamp")
     if not isinstance(dtype, T.StringType):
         return F.lit(None).cast("timestamp")
-    cell = strip(c)
-    behind = rf"(?:{TIME_OF_DAY}(?:{ZONE})?)?$"
-    # Date, time and zone are read apart: any date spelling may have any time behind it.
-    day = F.regexp_replace(cell, rf"{TIME_OF_DAY}(?:{ZONE})?$", "")
-    clock = F.regexp_extract(cell, TIME_OF_DAY + rf"(?:{ZONE})?$", 1)
-    zone = F.regexp_extract(cell, TIME_OF_DAY + rf"(?:{ZONE})?$", 2)
-    date = F.coalesce(*[
+    return _let(strip(c), lambda cell: F.when(
+        cell.rlike(MOMENT), F.when(F.contains(cell, F.lit(":")), _timed(cell)).otherwise(_day(cell))))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is worked out once, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _day(day: Column) -> Column:
+    return F.coalesce(*[
         F.when(day.rlike(f"^{shape}$"), _in_century(F.try_to_timestamp(day, F.lit(pattern)), pattern)) for shape, pattern in DATE_SHAPES])
+
+
+def _timed(cell: Column) -> Column:
+    """Date, time and zone are read apart: any date spelling may have any time behind it."""
+    behind = rf"{TIME_OF_DAY}(?:{ZONE})?$"
+    date = _let(F.regexp_replace(cell, behind, ""), _day)
+    zone = F.regexp_extract(cell, behind, 2)
+    return _let(F.regexp_extract(cell, behind, 1), lambda clock: F.when(clock == "", date).otherwise(_at_clock(date, clock, zone)))
+
+
+def _at_clock(date: Column, clock: Column, zone: Column) -> Column:
     # Of twelve hours: 12 AM is 0, and PM adds 12 to all but 12. Hours beyond 12 have no half of the day.
     half, hour = F.lower(F.right(clock, F.lit(2))), F.regexp_extract(clock, r"^\d{1,2}", 0).cast("int")
     twelve = F.when(hour.between(1, 12), F.format_string("%02d", hour % 12 + F.when(half == "pm", 12).otherwise(0)))
     clock = F.when(half.isin("am", "pm"), F.concat(twelve, F.regexp_extract(clock, r"(:[\d:.]+)", 1))).otherwise(clock)
     timed = F.concat(F.date_format(date, "yyyy-MM-dd"), F.lit(" "), clock, F.regexp_replace(zone, r"(\d{2})(\d{2})$", "$1:$2"))
-    return F.when(cell.rlike(rf"\d{behind}"), F.when(clock == "", date).otherwise(timed.try_cast("timestamp")))
+    return timed.try_cast("timestamp")
