@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,12 +50,16 @@ def cell_signs(
     columns = string_columns(df) if columns is None else columns
     cell, text = F.col("cell"), T.StringType()
     lower = F.lower(cell)
-    return _cells(df, columns, order_by, sample).groupBy("column").agg(
-        F.count(F.lit(1)).alias("cells"),
-        F.count(to_timestamp_mixed(cell, text)).alias("dates"),
-        F.count(to_float(cell, text)).alias("numbers"),
-        F.count_if(cell != strip(cell)).alias("padded"),
-        F.count_if(lower.isin(*BOOLEAN_WORDS)).alias("booleans"),
+    # Equal cells are counted first, so that each is read once.
+    different = _cells(df, columns, order_by, sample).groupBy("column", "cell").agg(F.count(F.lit(1)).alias("n"))
+    def having(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+    return different.groupBy("column").agg(
+        having(F.lit(True)).alias("cells"),
+        having(to_timestamp_mixed(cell, text).isNotNull()).alias("dates"),
+        having(to_float(cell, text).isNotNull()).alias("numbers"),
+        having(cell != strip(cell)).alias("padded"),
+        having(lower.isin(*BOOLEAN_WORDS)).alias("booleans"),
         F.count_distinct(lower).alias("variants"),
     )
 
