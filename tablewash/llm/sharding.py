@@ -35,11 +35,9 @@ def contiguous_shards(
         "part", "tie", "unit", "at", "place", "before", "rows", "total")
     keep = [c for c in df.columns if c not in (shard, slot)]
     units = F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0))
-    dealt = materialize(
-        df.withColumns({unit: units, tie: F.monotonically_increasing_id()})
-        .repartitionByRange(*order_by, tie)
-        .withColumn(part, F.spark_partition_id())
-    )
+    # Written before it is dealt: the boundaries are sampled from the narrow rows, not from the input again.
+    narrow = materialize(df.withColumns({unit: units, tie: F.monotonically_increasing_id()}))
+    dealt = materialize(narrow.repartitionByRange(*order_by, tie).withColumn(part, F.spark_partition_id()))
     ahead = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     totals = dealt.groupBy(part).agg(F.sum(unit).alias(unit), F.count(F.lit(1)).alias(rows)).select(
