@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tablewash.functions.parse import missing_nan, to_float
 from tablewash.functions.text import cell_text
 from tablewash.functions.typing import column_types, compatible
-from tablewash.operators.ordered import Running, bucket_count, fit_ranges, running
+from tablewash.operators.ordered import BUCKET, Running, bucket_count, fit_ranges, running
 from tablewash.operators.profile import duplicate_count
 from tablewash.operators.relate import fk_integrity
 from tablewash.session import materialize
@@ -94,11 +94,13 @@ def _column_matches(current, truth, columns, cur: _Side, ref: _Side, buckets=Non
     # Each value once, with its count on both sides; then its span of positions on each side.
     cells = _values(current, columns, numeric, "a").unionByName(_values(truth, columns, numeric, "b"))
     counts = cells.groupBy("col", "x", "s").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    bucket = fit_ranges(cells, ["col", "x", "s"], buckets, rows=(cur.rows + ref.rows) * len(columns))
+    ranges = fit_ranges(cells, ["col", "x", "s"], buckets, rows=(cur.rows + ref.rows) * len(columns))
+    # Written, as the scan reads its rows twice and each value would be counted and placed again.
+    counts = materialize(ranges.add(counts))
     # Written once: the texts and both sides of the walk along the numbers start from here.
     spans = materialize(running(
         counts, ["x", "s"], [Running("ea", "sum", F.col("a")), Running("eb", "sum", F.col("b"))],
-        partition_by=["col"], bucket=bucket))
+        partition_by=["col"], bucket=F.col(BUCKET)).drop(BUCKET))
     start_a, start_b = F.col("ea") - F.col("a"), F.col("eb") - F.col("b")
 
     text_ids = [i for i, c in enumerate(columns) if c not in numeric]

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from tablewash.functions.parse import to_timestamp_mixed
-from tablewash.operators import detect
+from tablewash.operators import detect, quality
 
 
 def plan(df):
@@ -26,3 +26,13 @@ def test_equal_cells_are_read_once(spark):
     signs = detect.cell_signs(spark.createDataFrame([*enumerate(cells)], "k int, c string"), ["k"])
     assert [tuple(r) for r in signs.collect()] == [("c", 8, 3, 2, 1, 2, 4)]
     assert re.search(r"Aggregate \[column#\d+, cell#\d+\]", plan(signs))
+
+
+def test_a_scored_value_is_counted_and_placed_once(spark, monkeypatch):
+    written, write = [], quality.materialize
+    monkeypatch.setattr(quality, "materialize", lambda df: (written.append(plan(df)), write(df))[1])
+    rows = [(i, float(i % 7), "ab"[i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "k bigint, x double, s string")
+    matches = quality.column_matches(df, df.where("k < 30"), buckets=3)
+    assert sorted(tuple(r) for r in matches.collect()) == [("k", "number", 30), ("s", "text", 25), ("x", "number", 11)]
+    assert [p.count("inline(") for p in written] == [2, 0]
