@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
+from struct import pack as packed
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +16,7 @@ from pyspark.sql import types as T
 
 from tablewash.llm.common import fresh
 from tablewash.llm.tokens import WordCache
+from tablewash.llm.trie_bpe import byte_symbols
 
 #: What a cut costs, in tokens of padding: behind a sentence, or inside one. Behind a document it is free.
 SENTENCE, INSIDE = 2, 16
@@ -201,6 +205,59 @@ def _pieces(plan: dict, held: list, base: int, schema: T.StructType) -> Iterator
     yield from table.combine_chunks().to_batches()
 
 
+#: Letters that are one character in lower case and normal form; their lower case is among them.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ʯⱥⱦ"
+_SIGNS = r"!-/:-@\[-`{-~"
+_ODD = re.compile(rf"[^{_LETTERS}0-9{_SIGNS} \t\r]")
+#: The parts of a text in lower case that has nothing odd.
+_PARTS = re.compile(rf"[{_LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[{_SIGNS}]+")
+#: How a tokenizer prepares and cuts its text, for the parts to be what it cuts.
+_PREPARES = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_CUTS = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
+class PartIds(WordCache):
+    """Ids, little-endian unsigned 32-bit, of the strings that ``cut`` makes of a text. Many words share
+    a part, and nothing is left to prepare or cut in it, so the library's model alone encodes it. A
+    string that starts with a space is a whole word, for which the whole library is asked."""
+
+    def __init__(self, path: str):
+        super().__init__(path, lambda ids: packed(f"<{len(ids)}I", *ids))
+        steps = (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)
+        known = [s is not None and json.loads(s.__getstate__()) for s in steps] == [_PREPARES, _CUTS]
+        self.model = self.tokenizer.model if known else None
+        self.symbols = byte_symbols()
+
+    def cut(self, text: str) -> list[str]:
+        """Strings whose ids make up those of ``text``: its parts, and whole words with something odd.
+        All words are whole where the tokenizer is of another kind or the text may have special strings."""
+        text = text.replace("\n", " ")
+        low = text.lower()
+        if self.model is None or any(a in low for a in self.added):
+            return [" " + w for w in text.split(" ") if w]
+        odd = _ODD.search(text)
+        if odd is None:
+            return _PARTS.findall(low)
+        out, at = [], 0
+        while odd:
+            start = text.rfind(" ", at, odd.start()) + 1 or at
+            end = text.find(" ", odd.end())
+            end = len(text) if end < 0 else end
+            out += _PARTS.findall(text[at:start].lower())
+            out.append(" " + text[start:end])
+            at, odd = end, _ODD.search(text, end)
+        return out + _PARTS.findall(text[at:].lower())
+
+    def work_out(self, word: str) -> bytes:
+        if self.model is None or word[:1] == " " or word in self.added:
+            return super().work_out(word)
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.symbols)
+        return self.make([t.id for t in self.model.tokenize(shown)])
+
+
 _ENCODERS: dict = {}
 
 
@@ -208,7 +265,7 @@ def _encoder(path: str, end_id: int):
     """A function from texts to their ids, and which ids end a sentence. The tokenizer drops white
     space, so words are encoded apart and remembered per worker."""
     if path not in _ENCODERS:
-        words = WordCache(path, lambda ids: np.array(ids, "<u4").tobytes())
+        words = PartIds(path)
         vocabulary = words.tokenizer.get_vocab()
         ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
@@ -219,9 +276,8 @@ def _encoder(path: str, end_id: int):
     tail = np.array([end_id], "<u4").tobytes()
 
     def encode(texts: list[str]) -> Iterator[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
         get = words.__getitem__
-        for s in split:
-            yield np.frombuffer(b"".join([*map(get, s), tail]), "<u4")
+        for t in texts:
+            yield np.frombuffer(b"".join([*map(get, words.cut(t)), tail]), "<u4")
 
     return encode, ends

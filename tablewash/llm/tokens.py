@@ -52,19 +52,21 @@ class WordCache(Remembered):
         self.added = tuple(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
 
     def __missing__(self, word: str):
-        body = word[1:] if word[:1] == " " else word
-        if self.folds and word.isascii() and word != (low := word.lower()) and not any(a in low for a in self.added):
-            value = self[low]
-        elif len(body) > 1 and body[-1] in ".,;:!?*#$%&|" and _plain_letters(body[:-1]):
-            value = self[word[:-1]] + self[body[-1]]
-        else:
-            value = self.make(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        value = self.work_out(word)
         if len(word) <= self.longest:
             if self.held > self.limit:
                 self.trim()
             self.learn(word, value)
         return value
 
+    def work_out(self, word: str):
+        body = word[1:] if word[:1] == " " else word
+        if self.folds and word.isascii() and word != (low := word.lower()) and not any(a in low for a in self.added):
+            return self[low]
+        if len(body) > 1 and body[-1] in ".,;:!?*#$%&|" and _plain_letters(body[:-1]):
+            return self[word[:-1]] + self[body[-1]]
+        return self.make(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
 
 # Counting ----------------------------------------------------------------------------------------
 

@@ -1,6 +1,7 @@
 """Token counts, packing and page extraction."""
 
 import itertools
+import json
 import random
 import zlib
 
@@ -42,6 +43,43 @@ def test_special_strings_keep_their_letter_case(text):
     assert list(next(encode([text]))) == [*library(WORDS, text), 1]
 
 
+@given(st.lists(st.one_of(st.sampled_from([*NASTY, "'S", "!'ll", "''ve", "Ⱥb", "Əl", "ǅ7", "x\r", "—", "it’s", "Ab,CD12;"]), st.text("aB'éƁ1! \t\n漢", max_size=6)), max_size=30), st.sampled_from(["", " ", "\n"]))
+@settings(max_examples=150, deadline=None)
+def test_parts_and_whole_words_make_up_a_text(parts, between):
+    text = between.join(parts)
+    encode, _ = packing._encoder(WORDS, 1)
+    assert list(next(encode([text]))) == [*library(WORDS, text), 1]
+
+
+def test_every_plain_character_is_cut_as_the_library_does():
+    encode, _ = packing._encoder(WORDS, 1)
+    for i in (*range(1, 0x300), *range(0x2C60, 0x2C80)):
+        for text in (f"a{chr(i)}b {chr(i)}1{chr(i)}", f"!{chr(i)}!{chr(i)}{chr(i)}"):
+            assert list(next(encode([text]))) == [*library(WORDS, text), 1], text
+
+
+def test_plain_words_do_not_take_the_whole_library(monkeypatch):
+    monkeypatch.setattr(packing, "_ENCODERS", {})
+    text = "Plain words, PLAIN WORDS: 12 éa (Éa)! It's\tsome***"
+    want = [*library(WORDS, text), 1]
+    encode, _ = packing._encoder(WORDS, 1)
+    monkeypatch.setattr(packing._ENCODERS[WORDS][0], "tokenizer", None)
+    assert list(next(encode([text]))) == want
+
+
+@pytest.mark.parametrize("change", [
+    {"normalizer": None}, {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}},
+    {"added_tokens": [{"id": 49406, "content": ",", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}]}])
+def test_other_tokenizers_keep_their_own_cuts(tmp_path, change):
+    path = tmp_path / "other.json"
+    with open(WORDS) as f:
+        path.write_text(json.dumps(json.load(f) | change))
+    text = "Words, WORDS: 12 éa Éa! It's some***\nword漢, x,"
+    encode, _ = packing._encoder(str(path), 1)
+    assert list(next(encode([text]))) == [*library(str(path), text), 1]
+
+
 @pytest.mark.parametrize("text", ["ab" * 3000, "word " * 4000, "\n" * 3000, " a  b" * 2000, "x y " + "é" * 5000 + " <|endoftext|> end"])
 def test_spliced_counts_of_long_texts(text):
     assert tokens.count_tokens_spliced(tokens.load_tokenizer(BYTES), text, 1000, 16) == len(library(BYTES, text))
